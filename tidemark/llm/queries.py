@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.chunking import text_pieces
+from tidemark.llm.leaks import leaked_items
+from tidemark.llm.packing import packed
 from tidemark.llm.segment import sentence_units
+from tidemark.llm.spans import shared_stretches
 from tidemark.sources.tables import table
 
 
@@ -22,8 +26,55 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return sentence_units(records(spark, base), "record_kind", "record_id", "text")
 
 
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    found = shared_stretches(table(spark, base, "sections", "id", "section_text"), "id", "section_text")
+    return found.select(F.col("id").alias("section_id"), "start_pos", "end_pos")
+
+
+def p4_shared_share(spark: SparkSession, base: str) -> DataFrame:
+    """For each section how much of its text stands elsewhere too."""
+    sections = table(spark, base, "sections", "id", "section_text")
+    held = p4_found(spark, base).groupBy("section_id").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("shared_chars"))
+    return (
+        sections.groupBy(F.col("id").alias("section_id")).agg(F.max(F.length("section_text")).cast("bigint").alias("n_chars"))
+        .join(held, "section_id", "left")
+        .select("section_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"))
+        .withColumn("shared_share", F.round(F.expr("coalesce(try_divide(shared_chars, n_chars), 0.0d)"), 6))
+    )
+
+
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return p6_pieces(spark, base).where("piece_no = 0").select("section_id", "cut_kind")
+
+
+def p6_pieces(spark: SparkSession, base: str) -> DataFrame:
+    return text_pieces(table(spark, base, "sections", "id", "section_text"), "id", "section_text").withColumnRenamed("key", "section_id")
+
+
+def p7_packed(spark: SparkSession, base: str) -> DataFrame:
+    return packed(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+def p7_variable(spark: SparkSession, base: str) -> DataFrame:
+    """The same with several permitted lengths, chosen jointly."""
+    return packed(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text", (512, 1024, 2048)).withColumnRenamed("key", "doc_id")
+
+
+def _leaks(spark: SparkSession, base: str) -> DataFrame:
+    return leaked_items(table(spark, base, "documents", "doc_id", "text"), "doc_id", "text", table(spark, base, "eval_items", "item_id", "text"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return _leaks(spark, base).where("shared_windows > 0").select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, base: str) -> DataFrame:
+    """Per test item: documents it leaked into and the largest share any of them holds."""
+    return _leaks(spark, base).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.sum((F.col("shared_windows") > 0).cast("bigint")).alias("n_exact"), F.round(F.max("item_share"), 6).alias("max_share"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {f.__name__: f for f in (p1_found, p4_found, p4_shared_share, p6_found, p6_pieces, p7_packed, p7_variable, p8_found, p8_report)}
 
 
 def oracle_sql() -> dict[str, str]:
