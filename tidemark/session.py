@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -27,6 +28,19 @@ def get_session(app: str = "tidemark", cores: int | str = "*", **conf: str) -> S
     return spark
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it.
+
+    On a cluster the package is installed or sent with ``--py-files``; a path
+    that a node lacks does no harm there.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    held = environment.get("PYTHONPATH", "")
+    if root not in held.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, held) if x)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import reachable
+
 
 def table(spark: SparkSession, base: str, name: str, *columns: str) -> DataFrame:
     """One table of ``base``; only ``columns`` are read where they are named."""
+    reachable(spark)
     df = spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
 
