@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chunking import text_pieces
 from tidemark.llm.leaks import leaked_items
+from tidemark.llm.nearcopies import all_pairs, near_copies
+from tidemark.llm.neighbours import nearest
 from tidemark.llm.packing import packed
 from tidemark.llm.segment import sentence_units
 from tidemark.llm.spans import shared_stretches
@@ -26,6 +28,11 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return sentence_units(records(spark, base), "record_kind", "record_id", "text")
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    links, members = near_copies(records(spark, base), "record_kind", "record_id", "text", "section")
+    return all_pairs(links, members).select(F.col("kind").alias("record_kind"), F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"))
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     found = shared_stretches(table(spark, base, "sections", "id", "section_text"), "id", "section_text")
     return found.select(F.col("id").alias("section_id"), "start_pos", "end_pos")
@@ -43,6 +50,17 @@ def p4_shared_share(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    near = nearest(table(spark, base, "sections", "id", "embedding"), "id", "embedding")
+    return near.select(F.least("id", "other").alias("section_id_a"), F.greatest("id", "other").alias("section_id_b")).distinct()
+
+
+def p5_neighbours(spark: SparkSession, base: str) -> DataFrame:
+    """Ranked neighbours of the stated query set: every section whose id is divisible by 20."""
+    near = nearest(table(spark, base, "sections", "id", "embedding"), "id", "embedding")
+    return near.where("id % 20 = 0").select(F.col("id").alias("section_id"), F.col("other").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return p6_pieces(spark, base).where("piece_no = 0").select("section_id", "cut_kind")
 
@@ -74,7 +92,7 @@ def p8_report(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p4_found, p4_shared_share, p6_found, p6_pieces, p7_packed, p7_variable, p8_found, p8_report)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_shared_share, p5_found, p5_neighbours, p6_found, p6_pieces, p7_packed, p7_variable, p8_found, p8_report)}
 
 
 def oracle_sql() -> dict[str, str]:
