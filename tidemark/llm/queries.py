@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunking import text_pieces
+from tidemark.llm.langid import misfits, stretches
 from tidemark.llm.leaks import leaked_items
 from tidemark.llm.nearcopies import all_pairs, near_copies
 from tidemark.llm.neighbours import nearest
@@ -91,8 +92,21 @@ def p8_report(spark: SparkSession, base: str) -> DataFrame:
     return _leaks(spark, base).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.sum((F.col("shared_windows") > 0).cast("bigint")).alias("n_exact"), F.round(F.max("item_share"), 6).alias("max_share"))
 
 
+def _stretches(spark: SparkSession, base: str) -> DataFrame:
+    return stretches(table(spark, base, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
+
+
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return misfits(_stretches(spark, base)).select(F.col("id").alias("doc_id"), "start_pos", "lang_code")
+
+
+def p9_languages(spark: SparkSession, base: str) -> DataFrame:
+    """Every stretch of every document with its language and the confidence in it."""
+    return _stretches(spark, base).select(F.col("id").alias("doc_id"), "start_pos", "end_pos", "lang_code", F.round("confidence", 4).alias("confidence"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_shared_share, p5_found, p5_neighbours, p6_found, p6_pieces, p7_packed, p7_variable, p8_found, p8_report)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_shared_share, p5_found, p5_neighbours, p6_found, p6_pieces, p7_packed, p7_variable, p8_found, p8_report, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -150,7 +150,7 @@ def _weight(block: str, mark_at: int, mark_end: int, end: int, nxt: int, shoutin
         good = word and head.isupper() and len(word) > 1 and word[1:].islower() and before and (before[-1].islower() and before.isalpha() and len(before) > 2 or before[-1] in "%)")
         return 4.0 if good and lower not in _NEVER_FINAL and "@" not in before else -6.0
     last = before[-1:] if before else ""
-    if "฀" <= last <= "໿":
+    if "฀" <= last <= "໿" or "ऀ" <= last <= "ൿ" and len(before) <= 4:
         return -5.0
     if head.islower():
         camel = at + 1 < n and block[at + 1].isupper()
@@ -166,9 +166,13 @@ def _weight(block: str, mark_at: int, mark_end: int, end: int, nxt: int, shoutin
     if not head.isalpha():
         return -1.0
     if not head.isupper():  # a script without capitals
-        if last.isascii() and not last.isdigit():
+        if not last.isalpha():
+            return 3.0 if last in "%)" else -5.0
+        if "぀" <= head <= "鿿" and lower in _MAY_END:
+            return 2.0  # these scripts take no Latin abbreviation into a sentence's middle
+        if lower in _NEVER_FINAL or lower in _MAY_END or "." in before:
             return -5.0
-        return 1.0 if len(before) > 4 else -5.0
+        return 4.0 if len(before) > 4 else -5.0
     if before[:1].isdigit() and len(before) <= 4 and not "." in before:
         ahead = block[: mark_at - len(before)].rstrip()
         led = ahead[-24:].rsplit(None, 1)[-1].lower() if ahead else ""
@@ -181,8 +185,6 @@ def _weight(block: str, mark_at: int, mark_end: int, end: int, nxt: int, shoutin
         return -6.0
     if len(before) == 1 and before.isalpha():
         return -5.0
-    if "ऀ" <= last <= "ൿ" and len(before) <= 4:
-        return -5.0
     shout = len(word) > 1 and word.isupper()
     if lower in _MAY_END:
         if lower in _LIST_END:
