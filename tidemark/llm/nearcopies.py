@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ MISS = 1.5e-3
 #: Rows of a bucket that one task compares; larger buckets are compared in blocks.
 HOT = 4096
 GROUP = 16
-#: Hot buckets are broadcast up to this number; beyond it they are joined.
+#: Hot buckets and ids of copies are broadcast up to this number; beyond it they are joined.
 BROADCAST_ROWS = 500_000
 #: Copy groups up to this size come out as all their pairs, larger ones as a star around the representative.
 EXPAND = 20
@@ -97,28 +98,25 @@ def minhashes(forms: list[str]) -> np.ndarray:
     return out.transpose(1, 0, 2).reshape(len(forms), _SALTS * _BINS)
 
 
-def band_keys(m: np.ndarray, rows: int, bands: int, salt: int) -> np.ndarray:
+def band_keys(m: np.ndarray, rows: int, bands: int) -> np.ndarray:
     keys = np.empty((len(m), bands), np.uint64)
     for b in range(bands):
-        acc = np.full(len(m), np.uint64(b * 7919 + salt))
+        acc = np.full(len(m), np.uint64(b * 7919 + 1))
         for i in range(rows):
             acc = hashing.mix(acc ^ m[:, (i % _SALTS) * _BINS + (b + 23 * (i // _SALTS)) % _BINS], i + 1)
         keys[:, b] = acc
     return keys
 
 
-def sketches(m: np.ndarray, wide: bool) -> np.ndarray:
-    """A bit for each hash as words of 64; narrow sketches leave the last two words 0."""
-    words = np.packbits((hashing.mix(m, 77) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64).copy()
-    if not wide:
-        words[:, 2:] = 0
-    return words
+def sketches(m: np.ndarray) -> np.ndarray:
+    """A bit for each hash, as four words of 64."""
+    return np.packbits((hashing.mix(m, 77) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64)
 
 
-def least_agreement(bits: int, similar: float) -> int:
-    """Bits on which two records of just the threshold agree, less five standard deviations."""
-    p = (1 + similar) / 2
-    return int(bits * p - 5 * math.sqrt(bits * p * (1 - p)))
+def least_agreement(similar: float) -> int:
+    """Bits on which two records of just the threshold agree, less four standard deviations."""
+    p, bits = (1 + similar) / 2, _SALTS * _BINS
+    return int(bits * p - 4 * math.sqrt(bits * p * (1 - p)))
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,40 +160,42 @@ def _large_bucket(sk: np.ndarray, side: np.ndarray, least: int) -> tuple[np.ndar
 def _open_groups(least: int):
     """Candidates of each bucket; rows come sorted by bucket."""
 
-    def solve(bucket: np.ndarray, side: np.ndarray, ids: np.ndarray, sk: np.ndarray) -> pa.RecordBatch | None:
+    def solve(bucket: np.ndarray, side: np.ndarray, ids: np.ndarray, code: np.ndarray, sk: np.ndarray) -> pa.RecordBatch | None:
         edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         sizes = np.diff(np.append(edges, len(bucket)))
         size = np.repeat(sizes, sizes)
-        a, b = [], []
+        a, b, c = [], [], []
         for d in range(1, min(int(sizes.max()), GROUP)):
             i = np.flatnonzero((size[:-d] > d) & (size[:-d] <= GROUP) & (bucket[:-d] == bucket[d:]))
             if not len(i):
                 continue
             ok = _agree(sk[i], sk[i + d]) >= least
             i = i[ok]
-            cross = (side[i] != side[i + d]) | (side[i] == 0) & (side[i + d] == 0)
-            a.append(ids[i[cross]])
-            b.append(ids[i[cross] + d])
+            i = i[(side[i] != side[i + d]) | (side[i] == 0) & (side[i + d] == 0)]
+            a.append(ids[i])
+            b.append(ids[i + d])
+            c.append(code[i])
         for k in np.flatnonzero(sizes > GROUP):
             lo, hi = edges[k], edges[k] + sizes[k]
             i, j = _large_bucket(sk[lo:hi], side[lo:hi], least)
             a.append(ids[lo + i])
             b.append(ids[lo + j])
+            c.append(code[lo + i])
         if not a:
             return None
         x, y = np.concatenate(a), np.concatenate(b)
         if not len(x):
             return None
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        pairs = np.unique(np.stack([np.concatenate(c), np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        pairs = pairs[pairs[:, 1] != pairs[:, 2]]
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, j].copy()) for j in range(3)], names=["code", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(parts)
-            got = solve(t["route"].to_numpy(), t["side"].to_numpy(), t["id"].to_numpy(), np.stack([t[f"s{w}"].to_numpy() for w in range(4)], 1).view(np.uint64))
+            got = solve(t["route"].to_numpy(), t["side"].to_numpy(), t["id"].to_numpy(), t["code"].to_numpy(), np.stack([t[f"s{w}"].to_numpy() for w in range(4)], 1).view(np.uint64))
             if got is not None:
                 yield got
 
@@ -214,7 +214,7 @@ def _open_groups(least: int):
     return run
 
 
-def signed(records: DataFrame, kind: str, key: str, text: str, rows: int, bands: int, wide: str) -> DataFrame:
+def signed(records: DataFrame, kind: str, key: str, text: str, rows: int, bands: int) -> DataFrame:
     """(kind, id, digest, keys, s0..s3) of every record whose normal form is long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,10 +235,10 @@ def signed(records: DataFrame, kind: str, key: str, text: str, rows: int, bands:
                 chunks.append(at)
             for at in chunks:
                 m = minhashes([forms[j] for j in at])
-                broad = np.array([kinds[j] == wide for j in at])
-                keys = np.where(broad[:, None], band_keys(m, rows, bands, 1), band_keys(m, rows, bands, 2)).view(np.int64)
-                sk = sketches(m, True)
-                sk[~broad, 2:] = 0
+                salts = {k: zlib.crc32(str(k).encode()) for k in set(kinds)}
+                salt = np.array([salts[kinds[j]] for j in at], np.uint64)
+                keys = hashing.mix(band_keys(m, rows, bands) ^ salt[:, None]).view(np.int64)
+                sk = sketches(m)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([kinds[j] for j in at]), pa.array([ids[j] for j in at], pa.int64()), pa.array([hashlib.blake2b(forms[j].encode("utf-8", "surrogatepass"), digest_size=16).digest() for j in at], pa.binary()), lists, *(pa.array(sk[:, w].copy().view(np.int64)) for w in range(4))],
@@ -281,44 +281,40 @@ def _pairs(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=["kind", "a", "b", "similarity"])
 
 
-def near_copies(records: DataFrame, kind: str, key: str, text: str, wide: str, similar: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def near_copies(records: DataFrame, kind: str, key: str, text: str, similar: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Links between representatives (kind, a, b, similarity) and membership (kind, rep, id, copies).
 
     Texts are compared within a kind. Null texts, null ids and texts whose
     normal form is shorter than ``LEAST_CHARS`` take no part; equal normal forms
     are copies of the representative, the smallest id among them; rows that
-    stand twice count once. ``wide`` is the kind of long texts, which get the
-    wider sketch. An empty table gives no rows; other columns are not read.
+    stand twice count once. An empty table gives no rows; other columns are not
+    read.
     """
-    spark = records.sparkSession
     rows, bands = bands_for(records.count(), similar)
-    sign = stored(signed(records, kind, key, text, rows, bands, wide))
-    reps = stored(sign.groupBy("kind", "digest").agg(F.min(F.struct("id", "keys", "s0", "s1", "s2", "s3")).alias("r"), F.count_distinct("id").alias("copies")).select("kind", "digest", "copies", "r.*"))
-    members = sign.select("kind", "digest", "id").distinct().join(reps.where("copies > 1").select("kind", "digest", F.col("id").alias("rep"), "copies"), ["kind", "digest"]).select("kind", "rep", "id", "copies")
-    links = None
-    for this in ("wide", "narrow"):
-        mine = reps.where(F.col("kind") == wide) if this == "wide" else reps.where(F.col("kind") != wide)
-        least = least_agreement(256, similar) if this == "wide" else least_agreement(128, similar) + 128
-        routed = mine.select(F.explode("keys").alias("bucket"), "id", "s0", "s1", "s2", "s3")
-        # buckets that look hot in a sixteenth of the rows; this decides on blocks, never on results
-        hot = stored(routed.where("pmod(xxhash64(id), 16) = 0").groupBy("bucket").count().where(F.col("count") > HOT // 16).select("bucket", F.ceil(F.col("count") * 16 / HOT).cast("int").alias("nb")))
-        n_hot = hot.count()
-        if n_hot:
-            routed = routed.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "bucket", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
-            routed = routed.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-            routed = routed.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("route"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "id", "s0", "s1", "s2", "s3", "mine", "other", "nb")
-            # a block pair of different blocks compares across only: its lower block is marked 2
-            routed = routed.select("route", F.when(F.col("mine") == F.col("other"), 0).when(F.col("side") == 1, 1).otherwise(2).alias("side"), "id", "s0", "s1", "s2", "s3")
-        else:
-            routed = routed.select(F.col("bucket").alias("route"), F.lit(0).alias("side"), "id", "s0", "s1", "s2", "s3")
-        pairs = routed.repartition("route").sortWithinPartitions("route").mapInArrow(_open_groups(least), "a bigint, b bigint").distinct()
-        pairs = pairs.withColumn("wide", F.lit(this == "wide"))
-        links = pairs if links is None else links.unionAll(pairs)
-    links = stored(links)
+    sign = stored(signed(records, kind, key, text, rows, bands))
+    groups = sign.groupBy("kind", "digest").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies")).where("copies > 1")
+    members = stored(sign.select("kind", "digest", "id").distinct().join(groups, ["kind", "digest"]).select("kind", "rep", "id", "copies"))
+    others = members.where("id <> rep").select("kind", "id")
+    reps = sign.join(F.broadcast(others) if others.count() <= BROADCAST_ROWS else others, ["kind", "id"], "left_anti")
+    # ids of different kinds may be equal: the routed row carries the kind as a number that belongs to its bucket
+    routed = reps.select(F.explode("keys").alias("bucket"), "id", "s0", "s1", "s2", "s3", F.crc32(F.col("kind").cast("binary")).alias("code"))
+    # buckets that look hot in a sixteenth of the rows; this decides on blocks, never on results
+    hot = stored(routed.where("pmod(xxhash64(id), 16) = 0").groupBy("bucket").count().where(F.col("count") > HOT // 16).select("bucket", F.ceil(F.col("count") * 16 / HOT).cast("int").alias("nb")))
+    n_hot = hot.count()
+    words = ("id", "code", "s0", "s1", "s2", "s3")
+    if n_hot:
+        routed = routed.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "bucket", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+        routed = routed.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+        # a pair of different blocks compares across only: its upper block is marked 1, its lower block 2
+        side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") > F.col("other"), 1).otherwise(2)
+        routed = routed.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("route"), side.alias("side"), *words)
+    else:
+        routed = routed.select(F.col("bucket").alias("route"), F.lit(0).alias("side"), *words)
+    links = stored(routed.repartition("route").sortWithinPartitions("route").mapInArrow(_open_groups(least_agreement(similar)), "code bigint, a bigint, b bigint").distinct())
     # each text travels once for each of its pairs
-    ends = links.select("wide", "a", "b", F.explode(F.expr("array(struct(0 as side, a as id), struct(1 as side, b as id))")).alias("e")).select("wide", "a", "b", "e.side", "e.id")
-    given = records.select(F.col(kind).alias("kind"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).where("t is not null").withColumn("wide", F.col("kind") == wide)
-    sides = ends.join(given, ["wide", "id"]).select("kind", "a", "b", "side", "t")
+    ends = links.select("code", "a", "b", F.explode(F.expr("array(struct(0 as side, a as id), struct(1 as side, b as id))")).alias("e")).select("code", "a", "b", "e.side", "e.id")
+    given = records.select(F.col(kind).alias("kind"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).where("t is not null").withColumn("code", F.crc32(F.col("kind").cast("binary")))
+    sides = ends.join(given, ["code", "id"]).select("kind", "a", "b", "side", "t")
     sure = sides.repartition("kind", "a", "b").sortWithinPartitions("kind", "a", "b").mapInArrow(_verify(similar), "kind string, a bigint, b bigint, similarity double")
     return sure, members
 

@@ -30,7 +30,7 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    links, members = near_copies(records(spark, base), "record_kind", "record_id", "text", "section")
+    links, members = near_copies(records(spark, base), "record_kind", "record_id", "text")
     return all_pairs(links, members).select(F.col("kind").alias("record_kind"), F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"))
 
 
