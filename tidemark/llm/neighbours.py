@@ -9,8 +9,8 @@ nearest to the vector. Each query scans the codes in its own cell through the
 code table, and its shortlist is reranked with whole vectors in the cells where
 the listed vectors live.
 
-Centroids and code books are fitted on a bounded sample (``SAMPLE`` vectors,
-taken by the hash of their id); every vector is indexed.
+Centroids and code books are fitted on a bounded sample (``SAMPLE`` to twice as
+many vectors, taken by the hash of their id); every vector is indexed.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMS = 384
-SAMPLE = 16384
+SAMPLE = 10_000
 #: Vectors of a cell on average; a cell holding more than ``BLOCK`` is served in blocks.
 CELL = 400
 BLOCK = 2000
@@ -100,7 +100,10 @@ class Quantiser:
 
 
 def fit(vectors: DataFrame, dims: int, total: int) -> Quantiser:
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()
+    """Fitted on the vectors whose hash falls into a share of the ids: ``SAMPLE`` to twice as many, whatever the total."""
+    rows = vectors.where(F.pmod(F.xxhash64("id"), F.lit(max(1, total // SAMPLE))) == 0).select("vec").collect()
+    if not rows:
+        rows = vectors.select("vec").limit(SAMPLE).collect()
     sample = np.frombuffer(b"".join(r.vec for r in rows), "<f4").reshape(-1, dims)
     return Quantiser(sample, int(np.clip(total // CELL, 1, min(MOST_CELLS, len(sample)))))
 
