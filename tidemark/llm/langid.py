@@ -14,6 +14,7 @@ another language than their label are left out of the second fit.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,13 @@ from tidemark.llm.segment import unit_spans
 
 #: Labelled rows that the profiles are fitted on, on average.
 SAMPLE = 3000
-PROFILE = 400
+PROFILE = 1200
 GRAMS = (1, 2, 3)
 #: Price of a change of language, in n-grams that are wholly out of place.
 CHANGE = 6.0
 LEAST_LETTERS = 10
 _SLOT_BITS = 18
+_ABSENT = 30_000
 
 # The languages and the usual ways of writing them, in lower case.
 LANGUAGES = {
@@ -52,8 +54,9 @@ LANGUAGES = {
 CODES = tuple(LANGUAGES)
 _NAMES = {name: code for code, names in LANGUAGES.items() for name in names.split()}
 _MISSING = frozenset(("", "und", "unknown"))
-_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
-_CAPITALISED = regex.compile(r"(?<![\p{L}\p{M}])\p{Ll}?\p{Lu}[\p{L}\p{M}\p{N}]*")
+# Python's own classes: quicker than full Unicode ones; vowel signs of Indic and Thai words fall out everywhere alike.
+_OTHER = re.compile(r"[\W\d_]+")
+_OTHER_OR_CAPITALISED = re.compile(r"(?:[\W\d_]+|(?<![^\W\d_])[a-zß-ÿ]?[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]*)+")
 _LETTER = regex.compile(r"\p{L}")
 _FEW = 12
 # cp1252 as it is met in texts decoded twice: bytes without a character stand for themselves
@@ -79,13 +82,13 @@ def repaired(text: str) -> str:
 
 
 def letters(text: str) -> str:
-    """Letters and marks in lower case, one blank for all else.
+    """Letters in lower case, one blank for all else.
 
     Capitalised words are left out, being names more often than not, unless
     too little would be left.
     """
     text = repaired(text)
-    form = _OTHER.sub(" ", _CAPITALISED.sub(" ", text)).strip()
+    form = _OTHER_OR_CAPITALISED.sub(" ", text).strip()
     return form if len(form) >= _FEW else _OTHER.sub(" ", text.lower()).strip()
 
 
@@ -110,7 +113,7 @@ class Profiles:
         self.slot_hash[slot] = vocabulary
         self.slot_id = np.zeros(1 << _SLOT_BITS, np.int32)
         self.slot_id[slot] = np.arange(len(vocabulary))
-        self.ranks = np.full((len(vocabulary), len(self.codes)), PROFILE, np.int16)
+        self.ranks = np.full((len(vocabulary), len(self.codes)), _ABSENT, np.int16)
         for j, grams in enumerate(ranked.values()):
             at = np.searchsorted(vocabulary, grams)
             at[at == len(vocabulary)] = 0
@@ -137,16 +140,22 @@ class Profiles:
             slot = (g >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
             hit = np.flatnonzero(self.slot_hash[slot] == g)
             cells.append(owner[hit] * self.size + self.slot_id[slot[hit]])
-        count = np.bincount(np.concatenate(cells), minlength=len(forms) * self.size)
-        at = np.flatnonzero(count)
-        form, gram = at // self.size, at % self.size
-        key = form << 40 | (0xFFFFF - np.minimum(count[at], 0xFFFFF)) << 20 | gram
+        cell = np.concatenate(cells)
+        if not len(cell):
+            return np.zeros((len(forms), len(self.codes)))
+        cell.sort()
+        at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        count = np.diff(np.append(at, len(cell)))
+        form, gram = np.divmod(cell[at], self.size)
+        key = form << 40 | (0xFFFFF - np.minimum(count, 0xFFFFF)) << 20 | gram
         key.sort()
         form, gram = key >> 40, key & 0xFFFFF
-        edges = np.flatnonzero(np.concatenate(([True], form[1:] != form[:-1]))) if len(form) else np.zeros(0, np.int64)
+        edges = np.flatnonzero(np.concatenate(([True], form[1:] != form[:-1])))
         rank = np.arange(len(form)) - np.repeat(edges, np.diff(np.append(edges, len(form))))
-        place = self.ranks[gram]
-        apart = np.where(place == PROFILE, np.int16(PROFILE), np.abs(np.minimum(rank, PROFILE).astype(np.int16)[:, None] - place))
+        apart = self.ranks[gram]
+        apart -= np.minimum(rank, PROFILE).astype(np.int16)[:, None]
+        np.abs(apart, out=apart)
+        np.minimum(apart, PROFILE, out=apart)
         out = np.zeros((len(forms), len(self.codes)))
         if len(edges):
             out[form[edges]] = np.add.reduceat(apart, edges, axis=0, dtype=np.int64) / PROFILE

@@ -111,7 +111,7 @@ def _inside(block: str) -> tuple[list[tuple[int, int]], set[int]]:
     return pairs, {e for _, e in pairs}
 
 
-def _weight(block: str, mark_at: int, mark_end: int, end: int, nxt: int, shouting: bool) -> float:
+def _weight(block: str, mark_at: int, mark_end: int, end: int, nxt: int) -> float:
     """How much closing and opening words speak for a boundary at ``end``."""
     n = len(block)
     mark = block[mark_end - 1]
@@ -140,6 +140,7 @@ def _weight(block: str, mark_at: int, mark_end: int, end: int, nxt: int, shoutin
             return -5.0
         return 5.0 if gap or head.isupper() else -3.0
     if mark == "…" or mark_end - mark_at > 1:
+        shouting = sum(map(str.isupper, block)) > 0.6 * sum(map(str.isalpha, block))
         if head.isupper() and (shouting or not (at + 1 < n and block[at + 1].isupper())):
             return -1.0 if shouting else 4.0
         return -5.0
@@ -224,7 +225,6 @@ def _cut_block(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
     cands: list[tuple[int, int, float]] = []
     pairs: list[tuple[int, int]] | None = None
     closing: set[int] = set()
-    shouting = False
     for m in _MARKS.finditer(block):
         a, b = m.span()
         if b >= n:
@@ -233,7 +233,6 @@ def _cut_block(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
             continue
         if pairs is None:
             pairs, closing = _inside(block) if _QUOTES.search(block) else ([], set())
-            shouting = block.isupper() or sum(map(str.isupper, block)) > 0.6 * sum(map(str.isalpha, block))
         end = b
         while end < n:
             if end in closing:
@@ -249,7 +248,7 @@ def _cut_block(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
             break
         if block[nxt] in ".!?…。！？" and nxt == end:
             continue  # the outer mark decides
-        w = _weight(block, a, b, end, nxt, shouting)
+        w = _weight(block, a, b, end, nxt)
         if w > -6 and pairs and any(s < end - 1 and end - 1 < e for s, e in pairs):
             w -= 7.0  # unbalanced on both sides
         if w > -_SURE:
