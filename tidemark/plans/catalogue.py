@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import spikes
+from tidemark.plans import relational, spikes, texts
 
-_MODULES = (spikes,)
+_MODULES = (spikes, texts, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
