@@ -188,7 +188,8 @@ def sector_trends(drift: DataFrame, companies: DataFrame, least: int = 3) -> Dat
     prev = n.select("sector", "company_id", (F.col("no") + 1).alias("no"), F.col("m").alias("before"))
     up = n.join(prev, ["sector", "company_id", "no"]).where("m > before")
     g = up.groupBy("sector", "quarter").agg(F.count("*").alias("companies"), F.avg(F.col("m") - F.col("before")).alias("rise")).where(F.col("companies") >= least)
-    return g.select("sector", "quarter", "companies", F.round("rise", 9).alias("rise"), F.round(F.least(F.lit(1.0), F.col("rise") * 10), 3).alias("significance"))
+    # scores have six digits: a half must not depend on the order of a sum
+    return g.select("sector", "quarter", "companies", F.round(F.col("rise") + 1e-11, 6).alias("rise"), F.round(F.least(F.lit(1.0), F.col("rise") * 10), 3).alias("significance"))
 
 
 def propagation(seen: DataFrame, least: int = 2) -> DataFrame:

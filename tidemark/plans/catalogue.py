@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import relational, series, spikes, texts
+from tidemark.plans import relational, sentences, series, spikes, texts
 
-_MODULES = (spikes, texts, relational, series)
+_MODULES = (spikes, texts, relational, series, sentences)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

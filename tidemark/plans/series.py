@@ -275,7 +275,7 @@ _EV = "ev AS (SELECT f.company_id, f.filing_date, lower(c.change_type) AS kind,
 _EX = "xd AS (SELECT company_id, filing_date, count(*) AS k, row_number() OVER (PARTITION BY company_id ORDER BY filing_date DESC) AS r FROM ev WHERE kind = 'added' GROUP BY company_id, filing_date), xg AS (SELECT company_id, max(CASE WHEN r = 1 THEN k END) AS latest, avg(CASE WHEN r > 1 THEN k END) AS baseline FROM xd GROUP BY ALL), ex AS (SELECT company_id, latest, round(baseline, 6) AS baseline, round(least(latest / (baseline * 4), 1.0), 6) AS score FROM xg WHERE baseline > 0 AND latest >= 2 * baseline)"
 _LT = "lt AS (SELECT company_id AS id, company_id, avg(cosine) AS drift FROM se QUALIFY false), l2 AS (SELECT s.company_id AS id, s.company_id, avg(s.cosine) AS drift FROM se s JOIN (SELECT company_id, max(filing_date) AS m FROM se GROUP BY ALL) x ON x.company_id = s.company_id AND x.m = s.filing_date GROUP BY s.company_id)".replace("lt AS (SELECT company_id AS id, company_id, avg(cosine) AS drift FROM se QUALIFY false), ", "")
 _MD = "md AS (SELECT *, CASE WHEN peer_std >= 0.001 THEN (drift - peer_mean) / peer_std END AS z FROM " + _loo("(SELECT *, 1 AS one FROM l2)", "one", "drift") + " q WHERE peers >= 2), mv AS (SELECT company_id, round(drift, 6) AS drift, round(z, 4) AS z, CASE WHEN z > 0 THEN 'UP' ELSE 'DOWN' END AS direction, round(least(abs(z) / 5, 1.0), 3) AS significance FROM md WHERE abs(z) > 1.0)"
-_SQ = "sq AS (SELECT coalesce(nullif(substring(sic_code, 1, 1), ''), 'unknown') AS sector, year(filing_date) || '-Q' || quarter(filing_date) AS quarter, company_id, avg(cosine) AS m FROM dr JOIN companies c ON c.id = dr.company_id WHERE cosine IS NOT NULL GROUP BY ALL), so AS (SELECT sector, quarter, dense_rank() OVER (PARTITION BY sector ORDER BY quarter) AS no FROM (SELECT DISTINCT sector, quarter FROM sq)), sn AS (SELECT * FROM sq JOIN so USING (sector, quarter)), ss AS (SELECT a.sector, a.quarter, count(*) AS companies, round(avg(a.m - b.m), 9) AS rise, round(least(1.0, avg(a.m - b.m) * 10), 3) AS significance FROM sn a JOIN sn b ON a.sector = b.sector AND a.company_id = b.company_id AND b.no = a.no - 1 WHERE a.m > b.m GROUP BY ALL HAVING count(*) >= 2)"
+_SQ = "sq AS (SELECT coalesce(nullif(substring(sic_code, 1, 1), ''), 'unknown') AS sector, year(filing_date) || '-Q' || quarter(filing_date) AS quarter, company_id, avg(cosine) AS m FROM dr JOIN companies c ON c.id = dr.company_id WHERE cosine IS NOT NULL GROUP BY ALL), so AS (SELECT sector, quarter, dense_rank() OVER (PARTITION BY sector ORDER BY quarter) AS no FROM (SELECT DISTINCT sector, quarter FROM sq)), sn AS (SELECT * FROM sq JOIN so USING (sector, quarter)), ss AS (SELECT a.sector, a.quarter, count(*) AS companies, round(avg(a.m - b.m) + 1e-11::DOUBLE, 6) AS rise, round(least(1.0, avg(a.m - b.m) * 10), 3) AS significance FROM sn a JOIN sn b ON a.sector = b.sector AND a.company_id = b.company_id AND b.no = a.no - 1 WHERE a.m > b.m GROUP BY ALL HAVING count(*) >= 2)"
 _PP = "pa AS (SELECT phrase, company_id, min(filing_date) AS d FROM cs, (VALUES " + values_sql([(p,) for p in SAMPLE_WATCH]) + ") v(phrase) WHERE contains(lower(section_text), phrase) GROUP BY ALL), pm AS (SELECT phrase, company_id AS first_company, d AS first_date FROM pa QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY d, company_id) = 1), pj AS (SELECT phrase, first_company, first_date, greatest(1, round_even(abs(datediff('day', first_date, d)) / 91.0, 0))::INT AS lag FROM pa JOIN pm USING (phrase) WHERE company_id <> first_company), pp AS (SELECT phrase, first_company, first_date, count(*) AS followers, round(avg(lag), 4) AS mean_lag, round(least(1.0, 0.2::DOUBLE * count(*) + 0.3::DOUBLE / avg(lag)), 3) AS significance FROM pj WHERE lag BETWEEN 1 AND 4 GROUP BY ALL)"
 _RW = "PARTITION BY company_id ORDER BY filing_date, filing_id, section"
 _RK = f"""ry AS (SELECT *, avg(cosine) OVER b AS m0, stddev_pop(cosine) OVER b AS s0, count(*) OVER b AS k0, row_number() OVER (PARTITION BY company_id ORDER BY filing_date DESC, filing_id DESC, section DESC) AS rr FROM se WINDOW b AS ({_RW} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
