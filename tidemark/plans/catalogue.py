@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import relational, sentences, series, spikes, texts
+from tidemark.plans import relational, sentences, series, spikes, texts, vectors
 
-_MODULES = (spikes, texts, relational, series, sentences)
+_MODULES = (spikes, texts, relational, series, sentences, vectors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
