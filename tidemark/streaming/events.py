@@ -32,6 +32,7 @@ def stream(spark: SparkSession, base: str, name: str) -> DataFrame:
 def drained(df: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all input at hand and return its sink: all rows appended, or the last complete result."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
     place = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     writer = df.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint")
     if mode == "append":
@@ -72,7 +73,8 @@ def ngram_frequency(docs: DataFrame) -> DataFrame:
     """Document frequency of two-word phrases, kept up to date as documents arrive."""
     from tidemark.functions.text import ngrams, tokens
 
-    phrases = docs.where("text is not null").select(F.explode(F.array_distinct(ngrams(tokens(F.col("text")), 2))).alias("phrase"))
+    words = docs.where("text is not null").select(tokens(F.col("text")).alias("w"))  # a column of its own, or each phrase would split the text again
+    phrases = words.select(F.explode(F.array_distinct(ngrams(F.col("w"), 2))).alias("phrase"))
     return phrases.groupBy("phrase").agg(F.count("*").alias("df"))
 
 
@@ -126,7 +128,6 @@ def _processor(kind: str):
 
 def stateful(events: DataFrame, kind: str) -> DataFrame:
     """(event_id, user_id, previous or z) by a state for each user."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
     name = "previous" if kind == "previous" else "z"
     rows = events.where("value is not null").select("event_id", "user_id", "ts", "value")
     return rows.groupBy("user_id").transformWithStateInPandas(_processor(kind), f"event_id bigint, user_id bigint, {name} double", "append", "none")
