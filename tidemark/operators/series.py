@@ -53,7 +53,10 @@ def company_anomaly(s: DataFrame) -> DataFrame:
 
 
 def leave_one_out(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Mean and population deviation of each row's group without the row itself, by two passes of partial sums around the group's mean."""
+    """Mean and population deviation of each row's group without the row itself, by two passes of partial sums around the group's mean.
+
+    A row without peers has no mean and a deviation of 0.
+    """
     m = rows.groupBy(*group).agg(F.avg(value).alias("m_"))
     centred = rows.join(m, group).withColumn("d_", F.col(value) - F.col("m_"))
     sums = centred.groupBy(*group).agg(F.count("*").alias("k_"), F.sum("d_").alias("s_"), F.sum(F.col("d_") * F.col("d_")).alias("q_"))
