@@ -182,6 +182,8 @@ def _weight(block: str, mark_at: int, mark_end: int, end: int, nxt: int) -> floa
         if not ahead or led in _HEADING_WORDS and len(ahead) == len(led):
             return -5.0  # a number at the head of a block
         return 4.0
+    if lower == "no":
+        return 4.0  # an answer, not a number
     if lower in _NEVER_FINAL:
         return -6.0
     if len(before) == 1 and before.isalpha():
