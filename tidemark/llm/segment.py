@@ -40,7 +40,7 @@ _NEVER_FINAL = frozenset(
     "vs cf cfr vgl e.g i.e eg ie viz approx aprox env ca no nos nr núm num pág pag pp p sec art arts abs fig figs vol ch "
     "ex dept jan feb apr aug sept oct nov dec mon tue wed thu fri sat sun "
     "hr fr frl dipl ing bzw z.b d.h u.a bspw inkl exkl evtl ggf str tel "
-    "sr sra srta dra dña d.ª ud uds sig sigg dott dott.ssa ing avv prof.ssa "
+    "sr sra srta dra dña d.ª ud uds ee rr ss sig sigg dott dott.ssa ing avv prof.ssa "
     "mme mlle dhr mevr dhr mw bijv blz d.w.z o.a nl t.a.v m.b.t incl excl "
     "ст г-н г-жа им ул т.е т.к напр см стр тел д-р ред "
     "al".split()
