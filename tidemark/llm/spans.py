@@ -7,6 +7,11 @@ record that holds the span. Windows found in one record only are dropped, the
 others are doubled (to the left or to the right, one of which lies inside the
 span) and counted again. At the last level the surroundings of the survivors
 are compared character by character at the full length.
+
+Copies are folded twice: records of one text are shared from end to end and
+only the smallest id goes on, and surroundings that are equal are compared once
+and their places looked up afterwards. So a text, or most of one, may stand in
+a third of all records.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from tidemark.llm import hashing
 from tidemark.session import stored
 
 LENGTH = 300
+#: Ids of copies are broadcast up to this number; beyond it they are joined.
+BROADCAST_ROWS = 500_000
 
 
 def _anchors(h: np.ndarray, width: int) -> np.ndarray:
@@ -120,12 +127,14 @@ def _window_rows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, ids, los, ats, contexts = (batch.column(k).to_pylist() for k in range(5))
-            for a in range(0, len(ids), 200):
-                out = [_windows_of(c, at, length) for c, at in zip(contexts[a : a + 200], ats[a : a + 200])]
+            for a in range(0, batch.num_rows, 200):
+                hs, cs, ats, contexts, los, his = (batch.column(k).slice(a, 200).to_pylist() for k in range(6))
+                out = [_windows_of(c, at, length) for c, at in zip(contexts, ats)]
                 n = [len(x) for x in out]
-                start = np.concatenate([np.arange(k) + lo for k, lo in zip(n, los[a : a + 200])]) if out else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(ids[a : a + 200], n).astype(np.int64)), pa.array(start.astype(np.int32))], names=["w", "id", "start_pos"])
+                start = np.concatenate([np.arange(k) for k in n])
+                w = hashing.mix(np.concatenate(out) ^ hashing.mix(np.repeat(np.array(hs, np.int64), n).view(np.uint64)))
+                cols = [w.view(np.int64), *(np.repeat(np.array(x, np.int64), n) for x in (hs, cs)), start.astype(np.int32), *(np.repeat(np.array(x, np.int64), n) for x in (los, his))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["w", "h", "c", "s", "lo_id", "hi_id"])
 
     return run
 
@@ -135,15 +144,10 @@ def _windows_of(context: str, at: int, length: int) -> np.ndarray:
     return hashing.windows(hashing.prefix(hashing.codepoints(context)), length)[: at + 1]
 
 
-def _runs(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    cut = np.flatnonzero(np.diff(starts) > 1)
-    return starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + length
-
-
 def _last_level(length: int):
     """Compares the surroundings of each group (sorted by ``h``) and yields shared stretches."""
 
-    def solve(h: np.ndarray, ids: list, los: list, ats: list, contexts: list) -> pa.RecordBatch | None:
+    def solve(h: np.ndarray, cs: list, ats: list, contexts: list, los: list, his: list) -> pa.RecordBatch | None:
         ws = [_windows_of(c, at, length) for c, at in zip(contexts, ats)]
         sizes = np.array([len(w) for w in ws])
         if not sizes.sum():
@@ -151,36 +155,30 @@ def _last_level(length: int):
         member = np.repeat(np.arange(len(ws)), sizes)
         # the window hash within its group: equal windows of other groups are found there
         w = hashing.mix(np.concatenate(ws) ^ hashing.mix(h[member].view(np.uint64)))
-        owner = np.asarray(ids, np.int64)[member]
-        order = np.lexsort((owner, w))
-        ws_, os_ = w[order], owner[order]
-        new = np.concatenate(([True], ws_[1:] != ws_[:-1]))
-        seg = np.cumsum(new) - 1
-        lo = os_[np.flatnonzero(new)]
-        hi = os_[np.append(np.flatnonzero(new)[1:], len(os_)) - 1]
+        order = np.argsort(w, kind="stable")
+        new = np.flatnonzero(np.concatenate(([True], w[order][1:] != w[order][:-1])))
+        lo = np.minimum.reduceat(np.asarray(los, np.int64)[member][order], new)
+        hi = np.maximum.reduceat(np.asarray(his, np.int64)[member][order], new)
         shared = np.zeros(len(w), bool)
-        shared[order] = (lo != hi)[seg]
+        shared[order] = np.repeat(lo != hi, np.diff(np.append(new, len(w))))
         offset = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         at = np.flatnonzero(shared)
-        out_id, out_s, out_e = [], [], []
-        cut = np.flatnonzero(np.diff(member[at])) + 1
-        for part in np.split(at, cut):
-            if len(part):
-                m = member[part[0]]
-                s, e = _runs(offset[part] + los[m], length)
-                out_id.append(np.full(len(s), ids[m]))
-                out_s.append(s)
-                out_e.append(e)
-        if not out_id:
+        if not len(at):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_id, out_s, out_e)], names=["id", "start_pos", "end_pos"])
+        # runs of offsets within a member
+        cut = np.flatnonzero((np.diff(offset[at]) != 1) | (np.diff(member[at]) != 0))
+        first, last = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]
+        m = member[first]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h[m]), pa.array(np.asarray(cs, np.int64)[m]), pa.array(offset[first].astype(np.int32)), pa.array((offset[last] + length).astype(np.int32))], names=["h", "c", "s", "e"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(parts)
-            got = solve(t["h"].to_numpy(), *(t[c].to_pylist() for c in ("id", "lo", "at", "context")))
+            got = solve(t["h"].to_numpy(), *(t[c].to_pylist() for c in ("c", "at", "context", "lo_id", "hi_id")))
             if got is not None:
                 yield got
 
@@ -212,19 +210,28 @@ def shared_stretches(records: DataFrame, key: str, text: str, length: int = LENG
     """
     base = length // 4
     given = records.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).where(f"t is not null and id is not null and length(t) >= {length}")
+    digests = stored(given.select("id", F.md5("t").alias("d"), F.length("t").alias("n")))
+    classes = digests.groupBy("d").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("d", "lo")
+    copies = stored(digests.join(classes, "d"))
+    whole = copies.select("id", F.lit(0).cast("bigint").alias("start_pos"), F.col("n").cast("bigint").alias("end_pos"))
+    others = copies.where("id <> lo").select("id").distinct()
+    given = given.join(F.broadcast(others) if others.count() <= BROADCAST_ROWS else others, "id", "left_anti")
     anchors = stored(given.mapInArrow(_first_level(length), "id bigint, pos int, h bigint, hl bigint, hr bigint"))
     level = _repeated(anchors, "h")
-    sides = level.select("id", "pos", "h", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("hl").alias("d")), F.struct(F.lit(1).alias("side"), F.col("hr").alias("d")))).alias("x")).select("id", "pos", "h", F.hash("x.side").alias("side"), F.when(F.col("x.d") != 0, F.xxhash64("x.side", "x.d")).alias("d"))
+    sides = level.select("id", "pos", "h", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("hl").alias("d")), F.struct(F.lit(1).alias("side"), F.col("hr").alias("d")))).alias("x")).select("id", "pos", "h", F.when(F.col("x.d") != 0, F.xxhash64("x.side", "x.d")).alias("d"))
     level = _repeated(sides.where("d is not null"), "d").groupBy("id").agg(F.collect_set(F.struct("pos", "h")).alias("marks"))
-    around = given.join(level, "id").select("id", "t", "marks").mapInArrow(_surroundings(length), "h bigint, id bigint, lo int, at int, context string")
-    # copies of one surrounding: the smallest and greatest id decide what is shared, the places of all are kept by the join below
-    around = stored(around)
-    sizes = around.groupBy("h").count().where(F.col("count") > hot).select("h")
-    small = around.join(sizes, "h", "left_anti").repartition("h").sortWithinPartitions("h")
-    found = small.mapInArrow(_last_level(length), "id bigint, start_pos bigint, end_pos bigint")
-    windows = around.join(sizes, "h", "left_semi").mapInArrow(_window_rows(length), "w bigint, id bigint, start_pos int")
-    wide = _repeated(windows, "w").select("id", F.col("start_pos").cast("bigint"), (F.col("start_pos") + length).cast("bigint").alias("end_pos"))
-    return merged(found.unionAll(wide).distinct())
+    around = stored(given.join(level, "id").select("id", "t", "marks").mapInArrow(_surroundings(length), "h bigint, id bigint, lo int, at int, context string").withColumn("c", F.xxhash64("context", "at")))
+    # each surrounding once, with the smallest and greatest id that has it
+    once = stored(around.groupBy("h", "c", "at", "context").agg(F.min("id").alias("lo_id"), F.max("id").alias("hi_id")))
+    sizes = once.groupBy("h").count().where(F.col("count") > hot).select("h")
+    small = once.join(sizes, "h", "left_anti").repartition("h").sortWithinPartitions("h").select("h", "c", "at", "context", "lo_id", "hi_id")
+    found = small.mapInArrow(_last_level(length), "h bigint, c bigint, s int, e int")
+    windows = once.join(sizes, "h", "left_semi").select("h", "c", "at", "context", "lo_id", "hi_id").mapInArrow(_window_rows(length), "w bigint, h bigint, c bigint, s int, lo_id bigint, hi_id bigint")
+    several = windows.groupBy("w").agg(F.min("lo_id").alias("lo"), F.max("hi_id").alias("hi")).where("lo <> hi").select("w")
+    wide = windows.join(several, "w", "left_semi").select("h", "c", "s", (F.col("s") + length).alias("e"))
+    places = around.select("h", "c", "id", "lo")
+    placed = places.join(found.unionAll(wide), ["h", "c"]).select("id", (F.col("lo") + F.col("s")).cast("bigint").alias("start_pos"), (F.col("lo") + F.col("e")).cast("bigint").alias("end_pos"))
+    return merged(placed.unionAll(whole).distinct())
 
 
 def merged(stretches: DataFrame) -> DataFrame:
