@@ -57,3 +57,15 @@ def test_codes_keep_inner_products():
     along = [np.abs(((b - x) * x).sum(1)).mean() for b in (back, plain)]
     assert np.corrcoef((x @ x[:50].T).ravel(), (back @ x[:50].T).ravel())[0, 1] > 0.9
     assert along[0] < 0.5 * along[1]  # the parallel error is what is penalised
+
+
+def test_a_large_group_of_copies(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=64).astype("<f4")
+    rest = [(1000 + i, (v + 0.1 * rng.normal(size=64)).astype("<f4").tobytes()) for i in range(30)]
+    rows = [(i, v.tobytes()) for i in range(200)] + rest
+    got: dict[int, set] = {}
+    for r in N.nearest(_table(spark, rows), "id", "blob", 10, 64).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    assert got[150] == set(range(10)) and got[3] == set(range(11)) - {3} and len(got) == 230
+    assert all(g == set(range(10)) for i, g in got.items() if i >= 1000 and not g & set(range(1000, 1030)))

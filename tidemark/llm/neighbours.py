@@ -9,12 +9,16 @@ nearest to the vector. Each query scans the codes in its own cell through the
 code table, and its shortlist is reranked with whole vectors in the cells where
 the listed vectors live.
 
+Equal vectors are searched for once, by the smallest id among them, and spelled
+out in the end, so a group of copies may hold a third of all rows.
+
 Centroids and code books are fitted on a bounded sample (``SAMPLE`` to twice as
 many vectors, taken by the hash of their id); every vector is indexed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import stored
+
 DIMS = 384
 SAMPLE = 10_000
 #: Vectors of a cell on average; a cell holding more than ``BLOCK`` is served in blocks.
@@ -30,6 +36,8 @@ BLOCK = 2000
 MOST_CELLS = 8192
 PROBES = 8
 SHORTLIST = 40
+#: Ids of copies are broadcast up to this number; beyond it they are joined.
+BROADCAST_ROWS = 500_000
 #: Inner products below this share of the norm do not matter (the T of score-aware quantisation).
 THRESHOLD = 0.2
 
@@ -125,16 +133,21 @@ def nearest(records: DataFrame, key: str, blob: str, k: int = 10, dims: int = DI
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, at = _usable(batch.column(1).to_pylist(), dims)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "vec"])
+            blobs = [v.tobytes() for v in x]
+            digests = [hashlib.blake2b(v, digest_size=16).digest() for v in blobs]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(blobs, pa.binary()), pa.array(digests, pa.binary())], names=["id", "vec", "d"])
 
     given = records.select(F.col(key).cast("bigint").alias("id"), F.col(blob).alias("b")).where("id is not null and b is not null")
-    vectors = given.mapInArrow(decode, "id bigint, vec binary")
-    ids = vectors.groupBy("id").agg(F.count("*").alias("n"))
-    total, rows = ids.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    vectors = given.mapInArrow(decode, "id bigint, vec binary, d binary")
+    keys = stored(vectors.groupBy("id").agg(F.min("d").alias("d"), F.count("*").alias("times")))
+    classes = stored(keys.groupBy("d").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    total = classes.count()
     if not total:
         return spark.createDataFrame([], "id bigint, other bigint, similarity double, rank int")
-    if total != rows:
-        vectors = vectors.groupBy("id").agg(F.min("vec").alias("vec"))
+    if keys.where("times > 1").limit(1).count():
+        vectors = vectors.groupBy("id").agg(F.min_by("vec", "d").alias("vec"), F.min("d").alias("d"))
+    copies = keys.join(classes.where("n > 1"), "d").where("id <> rep").select("id")
+    vectors = vectors.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "id", "left_anti").select("id", "vec")
     shared = spark.sparkContext.broadcast(fit(vectors, dims, total))
     scale = total / len_sample(shared.value)
     blocks = spark.sparkContext.broadcast(np.maximum(1, np.ceil(shared.value.load * scale / BLOCK)).astype(np.int64))
@@ -271,8 +284,15 @@ def nearest(records: DataFrame, key: str, blob: str, k: int = 10, dims: int = DI
 
     living = vectors.mapInArrow(homes, "cell int, block int, kind tinyint, id bigint, data binary").withColumn("cands", F.lit(None).cast("array<bigint>"))
     scored = living.unionAll(short).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind").mapInArrow(rerank, "id bigint, other bigint, similarity double")
-    order = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 7)), "other")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = lambda who, other: Window.partitionBy(who).orderBy(F.desc(F.round("similarity", 7)), other)
+    near = scored.withColumn("rank", F.row_number().over(best("id", "other"))).where(F.col("rank") <= k).select(F.col("id").alias("rep"), "other", "similarity")
+    # copies: the k + 1 smallest ids of a class are all that a list can hold of it
+    own = classes.where("n > 1").select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("similarity"))
+    heads = keys.withColumn("no", F.row_number().over(Window.partitionBy("d").orderBy("id"))).where(F.col("no") <= k + 1).join(classes, "d").select(F.col("rep").alias("other"), F.col("id").alias("member"))
+    lists = near.unionAll(own).join(heads, "other").withColumn("rank", F.row_number().over(best("rep", "member"))).where(F.col("rank") <= k + 1).select("rep", "member", "similarity")
+    members = keys.join(classes, "d").select("rep", "id")
+    spelled = members.join(lists, "rep").where("id <> member").select("id", F.col("member").alias("other"), "similarity")
+    return spelled.withColumn("rank", F.row_number().over(best("id", "other"))).where(F.col("rank") <= k)
 
 
 def len_sample(q: Quantiser) -> int:
