@@ -28,7 +28,7 @@ SHINGLE = 5
 #: Items are held by every task; more text than this is matched in several passes.
 BLOCK_CHARS = 16_000_000
 
-_DROP = {0xAD: None, 0x200B: None}
+_DROP = ("\u00ad", "\u200b")
 _OTHER = regex.compile(r"[^\p{L}\p{M}\p{Nd}]+")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _LETTER = regex.compile(r"\p{L}")
@@ -36,7 +36,11 @@ _LETTER = regex.compile(r"\p{L}")
 
 def matching_form(text: str) -> str:
     """NFKC, without soft hyphens and zero-width spaces, lower case, one blank between words."""
-    text = unicodedata.normalize("NFKC", text).translate(_DROP).lower()
+    text = unicodedata.normalize("NFKC", text)
+    for sign in _DROP:
+        if sign in text:
+            text = text.replace(sign, "")
+    text = text.lower()
     return _OTHER.sub(" ", text).strip()
 
 
@@ -58,14 +62,21 @@ def _features(form: str, by_chars: bool) -> np.ndarray:
 
 
 def _simhash(feats: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of each window of ``size`` features."""
+    """SimHash of each window of ``size`` features; bit sums of a window are put together from sums of 1, 2, 4 ... features."""
     n = len(feats) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    bits = np.unpackbits(feats.view(np.uint8).reshape(-1, 8), axis=1)
-    total = np.zeros((len(feats) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, dtype=np.int32, out=total[1:])
-    return np.packbits(total[size:] - total[:n] > size // 2, axis=1).view(np.uint64).ravel()
+    sums = np.unpackbits(feats.view(np.uint8).reshape(-1, 8), axis=1)  # a window has fewer than 256 features
+    total, at, width, rest = np.zeros((n, 64), np.uint8), 0, 1, size
+    while rest:
+        if rest & 1:
+            total += sums[at : at + n]
+            at += width
+        rest >>= 1
+        if rest:
+            sums = sums[:-width] + sums[width:]
+            width *= 2
+    return np.packbits(total > size // 2, axis=1).view(np.uint64).ravel()
 
 
 class _Index:
