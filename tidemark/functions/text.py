@@ -64,13 +64,12 @@ def clamp(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
-def readability(text: Column) -> dict[str, Column]:
-    """Counts and indices of one text."""
-    words, sents = tokens(text), naive_sentences(text)
+def readability(words: Column, sents: Column) -> dict[str, Column]:
+    """Density and indices of one text, from columns that hold its words and its sentences."""
     n_words, n_sents = F.size(words), F.size(sents)
     letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
     complex_ = F.size(F.filter(words, lambda w: syllables(w) >= 3))
-    none = (n_words <= 0) | (n_sents <= 0) | text.isNull()
+    none = words.isNull() | (n_words <= 0) | (n_sents <= 0)
     fog = 0.4 * (ratio(n_words, n_sents) + 100 * ratio(complex_, n_words))
     coleman = 0.0588 * (100 * ratio(letters, n_words)) - 0.296 * (100 * ratio(n_sents, n_words)) - 15.8
     return {

@@ -223,3 +223,27 @@ def quality_report(pairs: DataFrame) -> DataFrame:
     )
     vocabulary = pairs.select(F.explode(words).alias("t")).agg(F.count_distinct("t").alias("distinct_tokens"))
     return one.crossJoin(vocabulary)  # one row each
+
+
+def budgeted(tiers: dict[int, DataFrame], total: int, shares: dict[int, float]) -> DataFrame:
+    """(tier, text_a, text_b, label): of each tier as many pairs as its share of ``total`` allows, in the order of a seeded hash; equal pairs once."""
+    out = None
+    for tier, rows in tiers.items():
+        one = rows.select(F.lit(tier).alias("tier"), "text_a", "text_b", "label").distinct()
+        out = one if out is None else out.unionAll(one)
+    order = F.md5(F.concat_ws("|", F.lit("42"), "text_a", "text_b"))
+    budget = F.create_map(*[F.lit(x) for t, share in shares.items() for x in (t, int(total * share))])
+    # the limit of a tier is taken from each partition first, so no tier passes through one task as a whole
+    n = out.withColumn("rn", F.row_number().over(Window.partitionBy("tier").orderBy(order, "text_a", "text_b"))).where(F.col("rn") <= max(int(total * s) for s in shares.values()))
+    return n.where(F.col("rn") <= budget[F.col("tier")]).drop("rn")
+
+
+def hash_split(rows: DataFrame, key: str, parts: int = 5) -> DataFrame:
+    """The rows with ``held_out``: one of ``parts`` parts by a hash of the key, the same in every run."""
+    h = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
+    return rows.withColumn("held_out", h % parts == 0)
+
+
+def rolling_index(rows: DataFrame, key: str, most: int = 50_000) -> DataFrame:
+    """The newest ``most`` rows by key; older ones fall out."""
+    return rows.orderBy(F.desc(key)).limit(most)

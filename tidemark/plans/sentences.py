@@ -117,11 +117,29 @@ def data_quality_report(spark: SparkSession, base: str) -> DataFrame:
     return N.quality_report(N.tier_exact(p).select("text_a", "label").unionAll(N.tier_overlap(p, 0.6).select("text_a", "label")))
 
 
+def train_budget(spark: SparkSession, base: str) -> DataFrame:
+    """Exact, overlapping and cross-company pairs within the budgets of their tiers."""
+    p = _pairs(spark, base)
+    tiers = {1: N.tier_exact(p), 2: N.tier_overlap(p, 0.6), 4: N.tier_across(_corpus(spark, base)).withColumn("label", F.lit(1.0))}
+    b = N.budgeted(tiers, 400, {1: 0.30, 2: 0.20, 4: 0.15})
+    return b.select("tier", F.md5("text_a").alias("a"), F.md5("text_b").alias("b"), "label")
+
+
+def train_split(spark: SparkSession, base: str) -> DataFrame:
+    c = N.hash_split(table(spark, base, "sentence_changes", "id", "change_type"), "id")
+    return c.groupBy(F.lower("change_type").alias("label"), "held_out").agg(F.count("*").alias("n"))
+
+
+def rolling_sentences(spark: SparkSession, base: str) -> DataFrame:
+    r = N.rolling_index(table(spark, base, "sentence_changes", "id", "sentence_text"), "id")
+    return r.select("id", F.md5("sentence_text").alias("sentence_hash"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lexicon_from_wide, sentiment_contextual, pair_sentiment_delta, sentence_risk_tiers, risk_summary, sentence_exact_changes, sentence_similarity, sentence_alignment, head_tail_truncate,
-        boilerplate_sentences, boilerplate_labels, boilerplate_uniqueness, train_tier1_exact, train_tier2_overlap, train_tier4_pairs, train_label_bands, train_negatives, data_quality_report,
+        boilerplate_sentences, boilerplate_labels, boilerplate_uniqueness, train_tier1_exact, train_tier2_overlap, train_tier4_pairs, train_label_bands, train_negatives, data_quality_report, train_budget, train_split, rolling_sentences,
     )
 }
 
@@ -187,4 +205,7 @@ SQL = {
     "train_label_bands": "SELECT id, round(CASE WHEN similarity_score >= 0.8 THEN similarity_score ELSE (similarity_score - 0.55::DOUBLE) / 0.25::DOUBLE * 0.65::DOUBLE END, 6) AS label, CASE WHEN similarity_score >= 0.8 THEN 'positive' ELSE 'soft' END AS band FROM sentence_changes WHERE lower(change_type) = 'changed' AND matched_text IS NOT NULL AND length(trim(sentence_text)) >= 20 AND similarity_score >= 0.55",
     "train_negatives": "WITH n AS (SELECT id, drift_score_id, lower(change_type) AS kind, row_number() OVER (PARTITION BY drift_score_id, lower(change_type) ORDER BY md5('42:' || id), id) AS rn FROM sentence_changes WHERE lower(change_type) IN ('added', 'removed')) SELECT a.drift_score_id, a.id AS added_id, b.id AS removed_id FROM n a JOIN n b ON a.drift_score_id = b.drift_score_id AND a.rn = b.rn AND a.kind = 'added' AND b.kind = 'removed' WHERE a.rn <= 66",
     "data_quality_report": f"WITH {P_SQL}, {_PL}, {_T1}, {_T2}, q AS (SELECT text_a, label FROM t1 UNION ALL SELECT text_a, label FROM t3) SELECT count(*) AS n, round(avg(label), 6) AS mean_label, round(stddev_pop(label), 6) AS std_label, min(label) AS min_label, max(label) AS max_label, round(avg(length(text_a)), 6) AS mean_chars, round(avg(len({tok_sql('text_a')})), 6) AS mean_tokens, count_if(label >= 0.5)::BIGINT AS positive, (SELECT count(DISTINCT t) FROM (SELECT unnest({tok_sql('text_a')}) AS t FROM q)) AS distinct_tokens FROM q",
+    "train_budget": f"WITH {P_SQL}, {_PL}, {_T1}, {_T2}, {_CO}, o AS (SELECT norm, company_id, min_by(sentence, (section_id, no)) AS sentence FROM co GROUP BY ALL), h AS (SELECT norm, min(company_id) AS c, min_by(sentence, company_id) AS s FROM o GROUP BY ALL HAVING count(*) > 1), al AS (SELECT DISTINCT 1 AS tier, text_a, text_b, label FROM t1 UNION ALL SELECT DISTINCT 2, text_a, text_b, label FROM t3 UNION ALL SELECT DISTINCT 4, s, sentence, 1.0::DOUBLE FROM o JOIN h USING (norm) WHERE company_id > c), r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY md5('42|' || text_a || '|' || text_b), text_a, text_b) AS rn FROM al) SELECT tier, md5(text_a) AS a, md5(text_b) AS b, label FROM r WHERE rn <= CASE tier WHEN 1 THEN 120 WHEN 2 THEN 80 ELSE 60 END",
+    "train_split": "SELECT lower(change_type) AS label, ('0x' || substring(md5(id::VARCHAR), 1, 8))::BIGINT % 5 = 0 AS held_out, count(*) AS n FROM sentence_changes GROUP BY ALL",
+    "rolling_sentences": "SELECT id, md5(sentence_text) AS sentence_hash FROM sentence_changes ORDER BY id DESC LIMIT 50000",
 }

@@ -9,6 +9,7 @@ from tidemark.functions import text as T
 from tidemark.functions.lexicons import HEDGE_WORDS, SAMPLE_SOFT, SAMPLE_WATCH, STOP_WORDS
 from tidemark.operators import lexical as L
 from tidemark.plans.views import P_SQL, S_SQL, clean_sections, naive_sql, section_pairs, sent_sql, strip_sql, tok_sql, values_sql, words_sql
+from tidemark.session import stored
 from tidemark.sources.tables import table
 
 
@@ -17,14 +18,14 @@ def pair_jaccard_drift(spark: SparkSession, base: str) -> DataFrame:
 
 
 def doc_tokens_stats(spark: SparkSession, base: str) -> DataFrame:
-    d = table(spark, base, "documents", "doc_id", "text").where("text is not null")
-    w = T.tokens(F.col("text"))
+    d = table(spark, base, "documents", "doc_id", "text").where("text is not null").withColumn("w", T.tokens(F.col("text")))
+    w = F.col("w")
     return d.select("doc_id", F.size(w).alias("n_tokens"), F.size(F.array_distinct(w)).alias("n_distinct"), T.word_count(F.col("text")).alias("word_count"), F.length("text").alias("n_chars"))
 
 
 def doc_sentence_stats(spark: SparkSession, base: str) -> DataFrame:
-    d = table(spark, base, "documents", "doc_id", "text").where("text is not null")
-    s = T.sentences(F.col("text"))
+    d = table(spark, base, "documents", "doc_id", "text").where("text is not null").withColumn("s", T.sentences(F.col("text")))
+    s = F.col("s")
     return d.select("doc_id", F.size(s).alias("n_sentences"), F.size(T.naive_sentences(F.col("text"))).alias("n_naive"), F.size(F.filter(s, lambda x: F.length(x) >= 30)).alias("n_long"), F.coalesce(F.array_max(F.transform(s, F.length)), F.lit(0)).alias("longest"))
 
 
@@ -41,14 +42,14 @@ def pair_top_novel_tokens(spark: SparkSession, base: str) -> DataFrame:
 
 
 def doc_readability(spark: SparkSession, base: str) -> DataFrame:
-    d = table(spark, base, "documents", "doc_id", "text").where("text is not null")
-    m = T.readability(F.col("text"))
+    d = table(spark, base, "documents", "doc_id", "text").where("text is not null").select("doc_id", T.tokens(F.col("text")).alias("w"), T.naive_sentences(F.col("text")).alias("s"))
+    m = T.readability(F.col("w"), F.col("s"))
     return d.select("doc_id", F.round(m["density"], 4).alias("density"), F.round(m["fog"], 4).alias("fog"), F.round(m["coleman"], 4).alias("coleman"))
 
 
 def doc_specificity(spark: SparkSession, base: str) -> DataFrame:
     d = table(spark, base, "documents", "doc_id", "text").where("text is not null")
-    return d.select("doc_id", F.round(L.specificity(F.col("text")), 6).alias("specificity"))
+    return d.select("doc_id", F.round(L.specificity(F.col("text"), T.tokens(F.col("text"))), 6).alias("specificity"))
 
 
 def pair_euphemisms(spark: SparkSession, base: str) -> DataFrame:
@@ -74,7 +75,7 @@ def corpus_df(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _tops(spark: SparkSession, base: str) -> DataFrame:
-    counts = _counts(spark, base)
+    counts = stored(_counts(spark, base))  # read twice
     n = clean_sections(spark, base, "section_text").where("section_text is not null").count()
     return L.tfidf_top(counts, "section_id", L.document_frequency(counts), n)
 

@@ -57,6 +57,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named or held
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared one that the file system drops when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = held.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(held)
+    fs.deleteOnExit(held)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -66,7 +76,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -8,14 +8,13 @@ query can be its oracle. Checkpoints and sinks live in the shared folder.
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import reachable, shared_dir
+from tidemark.session import reachable, scratch
 
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -33,7 +32,7 @@ def drained(df: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all input at hand and return its sink: all rows appended, or the last complete result."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
-    place = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = scratch(spark, "stream")
     writer = df.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint")
     if mode == "append":
         query = writer.outputMode("append").format("parquet").option("path", f"{place}/sink").start()
