@@ -9,6 +9,7 @@ from tidemark.functions import text as T
 from tidemark.functions.lexicons import CATEGORIES, NEGATIONS, SAMPLE_SENTIMENT, SAMPLE_TIERS, SCOPE_BREAKERS
 from tidemark.operators import sentences as N
 from tidemark.plans.views import P_SQL, S_SQL, clean_sections, section_pairs, sent_sql, strip_sql, tok_sql, values_sql, words_sql
+from tidemark.session import stored
 from tidemark.sources.tables import table
 
 
@@ -59,7 +60,7 @@ def sentence_similarity(spark: SparkSession, base: str) -> DataFrame:
 
 def sentence_alignment(spark: SparkSession, base: str) -> DataFrame:
     s = N.pair_sentences(section_pairs(spark, base))
-    return N.alignment(s, N.similar_sentences(s))
+    return N.alignment(s, stored(N.similar_sentences(s)))  # edges are read three times
 
 
 def head_tail_truncate(spark: SparkSession, base: str) -> DataFrame:

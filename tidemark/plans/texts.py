@@ -85,7 +85,7 @@ def tfidf_topk(spark: SparkSession, base: str) -> DataFrame:
 
 
 def pair_keyphrase_diff(spark: SparkSession, base: str) -> DataFrame:
-    return L.phrase_changes(section_pairs(spark, base), _tops(spark, base))
+    return L.phrase_changes(section_pairs(spark, base), stored(_tops(spark, base)))  # read for both sides
 
 
 def watch_phrase_changes(spark: SparkSession, base: str) -> DataFrame:
