@@ -215,8 +215,7 @@ def stretches(docs: DataFrame, key: str, text: str, label: str) -> DataFrame:
     """
     spark = docs.sparkSession
     given = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"), F.col(label).alias("label")).where("t is not null")
-    n = given.count()
-    share = max(1, n // SAMPLE)
+    share = max(1, docs.count() // SAMPLE)
     sample = given.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).where("label is not null").select("label", "t").collect()
     labelled = [(c, r.t) for r in sample if (c := code_of(r.label))]
     schema = "id bigint, start_pos bigint, end_pos bigint, lang_code string, confidence double, label_code string, n_langs int"
