@@ -58,6 +58,7 @@ _MISSING = frozenset(("", "und", "unknown"))
 _OTHER = re.compile(r"[\W\d_]+")
 _OTHER_OR_CAPITALISED = re.compile(r"(?:[\W\d_]+|(?<![^\W\d_])[a-zß-ÿ]?[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]*)+")
 _LETTER = regex.compile(r"\p{L}")
+_INVISIBLE = ("\u00ad", "\u200b")
 _FEW = 12
 # cp1252 as it is met in texts decoded twice: bytes without a character stand for themselves
 _BYTES = {ord(bytes([b]).decode("cp1252")): b for b in range(128, 256) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)} | {b: b for b in (0x81, 0x8D, 0x8F, 0x90, 0x9D)} | {b: b for b in range(128)} | {b: b for b in range(0x80, 0x100)}
@@ -88,6 +89,9 @@ def letters(text: str) -> str:
     too little would be left.
     """
     text = repaired(text)
+    for sign in _INVISIBLE:
+        if sign in text:
+            text = text.replace(sign, "")
     form = _OTHER_OR_CAPITALISED.sub(" ", text).strip()
     return form if len(form) >= _FEW else _OTHER.sub(" ", text.lower()).strip()
 

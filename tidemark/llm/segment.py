@@ -244,7 +244,7 @@ def _cut_block(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
             else:
                 break
         nxt = end
-        while nxt < n and block[nxt].isspace():
+        while nxt < n and (block[nxt].isspace() or block[nxt] == "\u200b"):
             nxt += 1
         if nxt >= n:
             break
