@@ -69,3 +69,17 @@ def test_a_large_group_of_copies(spark):
         got.setdefault(r.id, set()).add(r.other)
     assert got[150] == set(range(10)) and got[3] == set(range(11)) - {3} and len(got) == 230
     assert all(g == set(range(10)) for i, g in got.items() if i >= 1000 and not g & set(range(1000, 1030)))
+
+
+def test_recall_with_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL", 10)
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(4000, 16)) @ rng.normal(size=(16, 64))).astype("<f4")
+    got: dict[int, set] = {}
+    for r in N.nearest(_table(spark, [(i, v.tobytes()) for i, v in enumerate(x)]), "id", "blob", 10, 64).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u.astype(float) @ u.T.astype(float)
+    np.fill_diagonal(s, -9)
+    want = np.argsort(-s, axis=1)[:, :10]
+    assert np.mean([len(got[i] & set(want[i].tolist())) / 10 for i in range(4000)]) >= 0.9

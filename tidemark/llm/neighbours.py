@@ -19,6 +19,7 @@ many vectors, taken by the hash of their id); every vector is indexed.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ SAMPLE = 10_000
 CELL = 400
 BLOCK = 2000
 MOST_CELLS = 8192
+#: Fewest cells that a vector's code is copied to, and fewest listed vectors; both grow with the cells.
 PROBES = 8
 SHORTLIST = 40
 #: Ids of copies are broadcast up to this number; beyond it they are joined.
@@ -107,6 +109,16 @@ class Quantiser:
         return self.book[np.arange(self.pairs), codes].reshape(len(packed), -1) + self.centroids[home]
 
 
+def probes_for(cells: int) -> int:
+    """Cells a code is copied to. Neighbours spread over more cells as these get finer: with 1.5 times their root the routing loss stays about the same."""
+    return min(cells, max(PROBES, math.ceil(1.5 * math.sqrt(cells))))
+
+
+def shortlist_for(cells: int) -> int:
+    """Vectors to rerank: more of them come between the true neighbours by the codes' error as the vectors get denser."""
+    return max(SHORTLIST, math.ceil(14 * cells**0.25))
+
+
 def fit(vectors: DataFrame, dims: int, total: int) -> Quantiser:
     """Fitted on the vectors whose hash falls into a share of the ids: ``SAMPLE`` to twice as many, whatever the total."""
     rows = vectors.where(F.pmod(F.xxhash64("id"), F.lit(max(1, total // SAMPLE))) == 0).select("vec").collect()
@@ -120,13 +132,14 @@ def _fixed(col: pa.Array, width: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), kind).reshape(-1, width)
 
 
-def nearest(records: DataFrame, key: str, blob: str, k: int = 10, dims: int = DIMS, probes: int = PROBES, shortlist: int = SHORTLIST) -> DataFrame:
+def nearest(records: DataFrame, key: str, blob: str, k: int = 10, dims: int = DIMS, probes: int | None = None, shortlist: int | None = None) -> DataFrame:
     """(id, other, similarity, rank) of the ``k`` most similar vectors of every usable vector, by cosine.
 
     Unusable blobs (null, of another size, not finite, of length 0) and null
     ids are left out; rows that stand twice count once. Equal similarities go
     to the smaller id. With fewer than ``k`` others all of them are listed; an
-    empty table gives no rows. Other columns are not read.
+    empty table gives no rows. Other columns are not read. ``probes`` and
+    ``shortlist`` follow the number of cells unless given.
     """
     spark = records.sparkSession
 
@@ -149,12 +162,20 @@ def nearest(records: DataFrame, key: str, blob: str, k: int = 10, dims: int = DI
     copies = keys.join(classes.where("n > 1"), "d").where("id <> rep").select("id")
     vectors = vectors.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "id", "left_anti").select("id", "vec")
     shared = spark.sparkContext.broadcast(fit(vectors, dims, total))
+    cells = len(shared.value.centroids)
+    probes, shortlist = min(probes or probes_for(cells), cells), shortlist or shortlist_for(cells)
     scale = total / len_sample(shared.value)
     blocks = spark.sparkContext.broadcast(np.maximum(1, np.ceil(shared.value.load * scale / BLOCK)).astype(np.int64))
 
+    def copied(cell: np.ndarray, block: np.ndarray, kind: int, who: np.ndarray, home: np.ndarray, data: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.full(len(who), kind, np.int8)), pa.array(who), pa.array(home.astype(np.int32)), data],
+            names=["cell", "block", "kind", "id", "home", "data"],
+        )
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, nb = shared.value, blocks.value
-        p = min(probes, len(q.centroids))
+        p = probes
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -166,24 +187,13 @@ def nearest(records: DataFrame, key: str, blob: str, k: int = 10, dims: int = DI
             codes = [c.tobytes() for c in q.encode(x, home)]
             n = len(x)
             # queries: to one block of their cell, with the vector
-            cell = [home]
-            block = [own % nb[home]]
-            who, kind, where, what = [own], [np.zeros(n, np.int8)], [home], [batch.column(1).to_pylist()]
-            # codes: to every block of each near cell
+            yield copied(home, own % nb[home], 0, own, home, batch.column(1))
+            # codes: to every block of each near cell, a batch for each so that memory does not grow with the cells
             for j in range(p):
                 c = near[:, j]
                 times = nb[c]
                 at = np.repeat(np.arange(n), times)
-                cell.append(c[at])
-                block.append(np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times))
-                who.append(own[at])
-                kind.append(np.ones(len(at), np.int8))
-                where.append(home[at])
-                what.append([codes[a] for a in at])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(block).astype(np.int32)), pa.array(np.concatenate(kind)), pa.array(np.concatenate(who)), pa.array(np.concatenate(where).astype(np.int32)), pa.array([w for part in what for w in part], pa.binary())],
-                names=["cell", "block", "kind", "id", "home", "data"],
-            )
+                yield copied(c[at], np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times), 1, own[at], home[at], pa.array([codes[a] for a in at], pa.binary()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries of a cell block come first, then its codes, chunk by chunk."""
