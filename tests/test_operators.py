@@ -106,6 +106,20 @@ def test_derivative_counts(spark):
     assert [d.where(f"{c} is not null").count() for c in ("velocity", "acceleration", "jerk")] == [4, 3, 2]
 
 
+def test_backtest_reads_the_stored_sentiment(spark, tmp_path):
+    """Filing 2 turns bad by 0.07; the 0.005 of filing 4 is no bad outcome."""
+    from tidemark.plans import series as P
+
+    drift = [(1, 1, 1, "mdna", 0.9, 0.001), (2, 1, 2, "mdna", 0.1, 0.07), (3, 1, 3, "mdna", 0.8, 0.001), (4, 1, 4, "mdna", 0.2, 0.005)]
+    rows = [(i, c, f, s, v, v, 1, 1, '{"negative": %.4f}' % n, dt.datetime(2020, 1, 1)) for i, c, f, s, v, n in drift]
+    names = "id bigint, company_id bigint, filing_id bigint, section_type string, cosine_distance double, jaccard_distance double, added_words int, removed_words int, sentiment_delta string, computed_at timestamp"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/drift_scores.parquet")
+    filings = [(i, 1, "10-K", dt.date(2015 + i, 3, 1), "done", f"a-{i}") for i in range(1, 5)]
+    spark.createDataFrame(filings, "id bigint, company_id bigint, form_type string, filing_date date, status string, accession_number string").write.parquet(f"{tmp_path}/filings.parquet")
+    got = {r.section: (r.n, r.high, r.hits, r.bad, r.precision, r.recall) for r in P.backtest_metrics(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(("all", "mdna"), (3, 1, 1, 1, 1.0, 1.0))
+
+
 def test_leave_one_out(spark):
     d = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 6.0), ("b", 5.0)], "g string, x double")
     got = {r.x: (r.peers, r.peer_mean, r.peer_std) for r in S.leave_one_out(d, ["g"], "x").collect()}

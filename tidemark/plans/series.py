@@ -207,8 +207,7 @@ def percentile_thresholds(spark: SparkSession, base: str) -> DataFrame:
 
 
 def backtest_metrics(spark: SparkSession, base: str) -> DataFrame:
-    d = clean_drift(spark, base).withColumn("sentiment_delta", F.regexp_replace("sentiment_delta", '"negative": 0\\.00[4-9]', '"negative": 0.0600'))
-    return I.backtest(d, clean_filings(spark, base))
+    return I.backtest(clean_drift(spark, base), clean_filings(spark, base))
 
 
 def label_histogram(spark: SparkSession, base: str) -> DataFrame:
