@@ -81,6 +81,16 @@ def test_truncation(spark):
     assert [r.x for r in d.select(N.truncated(F.col("s"), 4).alias("x")).collect()] == [["0", "1", "8", "9"], ["a"]]
 
 
+def test_long_texts_are_compared_whole(spark):
+    """400 sentences a side: the middle ones are copies, one is new, and the copy of another moved to the middle."""
+    old = [f"The board approved plan number {i} for the coming year." for i in range(400)]
+    new = [*old[1:200], old[0], "Something entirely new was decided about dividends.", *old[200:]]
+    s = N.pair_sentences(spark.createDataFrame([(1, 0, " ".join(old), " ".join(new), None)], PAIR), 30)
+    assert [(r.change, r.no) for r in N.exact_changes(s).collect()] == [("added", 200)]
+    assert N.tier_exact(s).count() == 400
+    assert N.pair_sentences(spark.createDataFrame([(1, 0, " ".join(old), " ".join(new), None)], PAIR), most=300).groupBy("side").count().where("count = 300").count() == 2
+
+
 def _drift(spark, values, company=1):
     rows = [(i, company, i, "mdna", "10-K", dt.date(2015 + i, 3, 1), v, 0.1, 1, 1, '{"negative": %f}' % (0.01 * i), dt.datetime(2020, 1, 1)) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, "id bigint, company_id bigint, filing_id bigint, section string, form string, filing_date date, cosine double, jaccard double, added_words int, removed_words int, sentiment_delta string, computed_at timestamp")

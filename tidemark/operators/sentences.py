@@ -94,10 +94,11 @@ def truncated(sents: Column, most: int = MOST_SENTENCES) -> Column:
     return F.when(F.size(sents) > most, F.concat(F.slice(sents, 1, half), F.slice(sents, -half, half))).otherwise(sents)
 
 
-def pair_sentences(pairs: DataFrame, least: int = 0) -> DataFrame:
-    """(section_id, side, no, sentence) of the previous (0) and this (1) text of each pair."""
+def pair_sentences(pairs: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
+    """(section_id, side, no, sentence) of the previous (0) and this (1) text of each pair; with ``most`` only the first and last half of so many (alignment)."""
     sides = pairs.select("section_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("prev_text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("text").alias("t")))).alias("x"))
-    return sides.select("section_id", "x.side", F.posexplode(truncated(T.sentences(F.col("x.t")))).alias("no", "sentence")).where(F.length("sentence") >= least)
+    sents = T.sentences(F.col("x.t"))
+    return sides.select("section_id", "x.side", F.posexplode(truncated(sents, most) if most else sents).alias("no", "sentence")).where(F.length("sentence") >= least)
 
 
 def exact_changes(sents: DataFrame) -> DataFrame:

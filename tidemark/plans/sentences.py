@@ -55,11 +55,11 @@ def sentence_exact_changes(spark: SparkSession, base: str) -> DataFrame:
 
 
 def sentence_similarity(spark: SparkSession, base: str) -> DataFrame:
-    return N.similar_sentences(N.pair_sentences(section_pairs(spark, base)), 0.55)
+    return N.similar_sentences(N.pair_sentences(section_pairs(spark, base), most=N.MOST_SENTENCES), 0.55)
 
 
 def sentence_alignment(spark: SparkSession, base: str) -> DataFrame:
-    s = N.pair_sentences(section_pairs(spark, base))
+    s = N.pair_sentences(section_pairs(spark, base), most=N.MOST_SENTENCES)
     return N.alignment(s, stored(N.similar_sentences(s)))  # edges are read three times
 
 
