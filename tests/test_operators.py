@@ -182,6 +182,17 @@ def test_graph_measures(spark):
     assert {r.hops: r.pairs for r in G.path_lengths(path).collect()} == {1: 4, 2: 2}
 
 
+def test_spectral_gap_of_large_graphs(spark):
+    import random
+
+    rng = random.Random(8)
+    pairs = {(min(a, b), max(a, b)) for a, b in ((i, rng.randrange(5200)) for i in range(5200) for _ in range(4)) if a != b}
+    e = spark.createDataFrame([(a, b, 0.3 + 0.7 * rng.random()) for a, b in sorted(pairs)], "a bigint, b bigint, sim double")
+    assert 0.1 < G.spectral_gap(e) < 1
+    few = e.where("a < 400 and b < 400")
+    assert G.spectral_gap(few, 10) == pytest.approx(G.spectral_gap(few), abs=1e-6)
+
+
 def test_plain_text_and_sections():
     html = "<html><head><style>x{}</style></head><body><p>One&nbsp;  two</p><script>bad()</script><b>three</b></body></html>"
     assert D.plain_text(html) == "One two\nthree"
