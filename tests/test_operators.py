@@ -193,6 +193,30 @@ def test_spectral_gap_of_large_graphs(spark):
     assert G.spectral_gap(few, 10) == pytest.approx(G.spectral_gap(few), abs=1e-6)
 
 
+def _communities(spark, n, edges):
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "node bigint")
+    return {r.node: r.community for r in G.communities(nodes, spark.createDataFrame(edges, "a bigint, b bigint, sim double")).collect()}
+
+
+def test_communities_do_not_swap_labels(spark):
+    assert len(set(_communities(spark, 2, [(0, 1, 0.5)]).values())) == 1
+    cliques = [(i, j, 0.9) for lo in (0, 5) for i in range(lo, lo + 5) for j in range(i + 1, lo + 5)]
+    got = _communities(spark, 11, [*cliques, (4, 5, 0.3)])
+    assert [len({got[i] for i in part}) for part in (range(5), range(5, 10))] == [1, 1] and got[0] != got[9] and got[10] == 10
+
+
+def test_communities_end_where_no_node_would_change(spark):
+    ring = [(i, i + 1, 0.5 + 0.001 * i) for i in range(39)] + [(0, 39, 0.5)]
+    got = _communities(spark, 40, ring)
+    for i in range(40):
+        votes: dict[int, float] = {}
+        for a, b, w in ring:
+            if i in (a, b):
+                other = got[b if a == i else a]
+                votes[other] = votes.get(other, 0.0) + w
+        assert votes.get(got[i], 0.0) >= max(votes.values()) - 1e-9
+
+
 def test_plain_text_and_sections():
     html = "<html><head><style>x{}</style></head><body><p>One&nbsp;  two</p><script>bad()</script><b>three</b></body></html>"
     assert D.plain_text(html) == "One two\nthree"

@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import cut
+from tidemark.session import cut, stored
 
 #: Centrality and spectrum need the whole graph in each task; larger ones are refused.
 MOST_EDGES = 2_000_000
+#: Nodes that still change their community of which no two neighbours do so at once.
+FEW = 32
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -191,15 +193,48 @@ def spectral_gap(edges: DataFrame, dense: int = 5000) -> float | None:
     return float(values[1] - values[0])
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(node, community) by weighted label propagation; a node takes the label of the largest total similarity, the smaller label of equals."""
-    e = cut(both_ways(edges))
-    label = cut(nodes.select("node", F.col("node").alias("community")))
-    for _ in range(rounds):
-        votes = e.join(label.select(F.col("node").alias("v"), "community"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("sim").alias("w"))
-        best = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.round("w", 9), "community")).alias("new"))
-        label = cut(label.join(best, "node", "left").select("node", F.coalesce("new", "community").alias("community")))
-    return label
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, community) by weighted label propagation, run until no node's neighbours have a label of larger total similarity than its own.
+
+    A node takes the label of the largest total similarity, the smaller one of
+    equals, but keeps its own where that is among the largest. Half of the nodes
+    that would change do so in a round, so neighbours don't just swap. A round
+    that does not raise the similarity inside communities is taken back, and
+    only such nodes change of which no two are neighbours, which always raises
+    it (so do the last few nodes at once): it rises from round to round, so the rounds end. Similarities count in
+    billionths, so that sums do not depend on their order.
+    """
+    e = cut(both_ways(edges).select("u", "v", F.round(F.col("sim") * 1e9).cast("bigint").alias("w")))
+
+    def judged(label: DataFrame) -> DataFrame:
+        """(node, community, own, new): similarity to the own label, and the better label, if any."""
+        votes = e.join(label.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node"), F.col("community").alias("theirs")).agg(F.sum("w").alias("w"))
+        j = label.join(votes, "node", "left").groupBy("node", "community").agg(
+            F.sum(F.when(F.col("theirs") == F.col("community"), F.col("w")).otherwise(0)).alias("own"), F.min_by("theirs", F.struct(-F.col("w"), "theirs")).alias("best"), F.max("w").alias("most")
+        )
+        # written, for a checkpoint keeps the plan's constraints, which double with every round
+        return stored(j.select("node", "community", "own", F.when(F.col("most") > F.col("own"), F.col("best")).alias("new")))
+
+    state = judged(nodes.select("node", F.col("node").alias("community")))
+    inside, moving = state.agg(F.coalesce(F.sum("own"), F.lit(0)), F.count("new")).first()
+    no = 0
+    while moving:
+        no += 1
+        order = F.xxhash64("node", F.lit(no))
+        sums = None
+        if moving > FEW:
+            half = F.when(order % 2 == 0, F.col("new"))
+            then = judged(state.select("node", F.coalesce(half, "community").alias("community")))
+            sums = then.agg(F.sum("own"), F.count("new")).first()
+        if sums is None or sums[0] <= inside:
+            rank = state.where("new is not null").select("node", F.struct(order.alias("h"), "node").alias("o"))
+            near = e.join(rank.select(F.col("node").alias("u"), F.col("o").alias("mine")), "u").join(rank.select(F.col("node").alias("v"), F.col("o").alias("theirs")), "v")
+            after = near.where("u <> v and theirs > mine").select(F.col("u").alias("node")).distinct()
+            free = rank.select("node").join(after, "node", "left_anti").withColumn("free", F.lit(True))
+            then = judged(state.join(free, "node", "left").select("node", F.when(F.col("free"), F.col("new")).otherwise(F.col("community")).alias("community")))
+            sums = then.agg(F.sum("own"), F.count("new")).first()
+        state, inside, moving = then, *sums
+    return state.select("node", "community")
 
 
 def within_two(edges: DataFrame) -> DataFrame:
