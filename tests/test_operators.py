@@ -228,6 +228,13 @@ def test_plain_text_and_sections():
     assert D.is_stub("See Item 7.") and not D.is_stub(body * 5)
 
 
+def test_html_clean_reads_texts_with_entities_alone(spark, tmp_path):
+    from tidemark.plans import documents as P
+
+    spark.createDataFrame([(1, "Profit &amp; loss"), (2, "<b>Bold</b> text"), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in P.html_clean(spark, str(tmp_path)).collect()}[1] == "Profit & loss"
+
+
 def test_diff():
     assert D.diff_stats("A b. C d.", "A b. C d.") == (0, 0, 0, 1.0)
     assert D.diff_stats("A b. C d.", "A b. X y. C d.")[0] == 1

@@ -18,8 +18,8 @@ def html_clean_regex(spark: SparkSession, base: str) -> DataFrame:
 
 
 def html_clean(spark: SparkSession, base: str) -> DataFrame:
-    """Markup cleaned by a parser, for texts that have any."""
-    d = table(spark, base, "documents", "doc_id", "text").where("text like '%<%>%'")
+    """Every text cleaned of markup and entities by a parser."""
+    d = table(spark, base, "documents", "doc_id", "text").where("text is not null")
     return d.select("doc_id", D.plain_text_col(F.col("text")).alias("text"))
 
 
