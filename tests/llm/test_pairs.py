@@ -77,14 +77,41 @@ def test_near_copies_of_nothing(spark):
     assert _pairs(df) == set()
 
 
+def test_hot_buckets_are_banded_again(spark, monkeypatch):
+    """Records that share little but a bucket meet only where they agree once more, and none that is similar is lost."""
+    monkeypatch.setattr(C, "HOT", 32)
+    monkeypatch.setattr(C, "bands_for", lambda n, s: (1, 12))  # short bands: buckets get hot
+    rng = random.Random(11)
+    shared = " ".join(WORDS[:4])
+    texts = [shared + " " + " ".join(rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(20)) for _ in range(120)]
+    texts += [t + " x" for t in texts[:40]]
+    df = spark.createDataFrame([("x", i, t) for i, t in enumerate(texts)], "k string, i bigint, t string")
+    forms = [C.normal_form(t) for t in texts]
+    want = {("x", a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if C.similarity(forms[a], forms[b]) >= C.SIMILARITY}
+    assert len(want) >= 40 and _pairs(df) == want
+
+
+def test_classes_of_copies_and_near_copies(spark):
+    text = " ".join(WORDS)
+    rows = [("x", i, text if i < 30 else text + " more") for i in range(31)] + [("x", 50, " ".join(WORDS[::-1])), ("x", 51, "short"), ("y", 0, text), ("x", None, text), ("x", 52, None)]
+    df = spark.createDataFrame(rows, "k string, i bigint, t string")
+    links, members = C.near_copies(df, "k", "i", "t")
+    got = {(r.kind, r.id): (r.class_id, r.copies, r.links) for r in C.classes(df, "k", "i", links, members).collect()}
+    assert all(got["x", i] == (0, 30, 1) for i in range(30)) and got["x", 30] == (0, 1, 1)
+    assert got["x", 50] == (50, 1, 0) and got["x", 51] == (51, 1, 0) and got["x", 52] == (52, 1, 0) and got["y", 0] == (0, 1, 0) and len(got) == 35
+
+
 def test_bound_never_hides_a_member():
     rng = np.random.default_rng(4)
     sk = rng.integers(0, 1 << 63, (200, 4)).astype(np.uint64)
-    sk[50:60] = sk[0] ^ (np.uint64(1) << np.arange(10, dtype=np.uint64))[:, None]
-    i, j = C._large_bucket(sk, np.zeros(200, int), 200)
-    got = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
+    sk[50:80] = sk[0] ^ (np.uint64(1) << rng.integers(0, 64, (30, 4)).astype(np.uint64))
+    bucket = np.sort(rng.integers(0, 3, 200))
+    m = C.Matrix(bucket, sk, np.full(200, 99.0), 50, 0.7)
+    i, j = m.pairs()
+    got = sorted(tuple(sorted(p)) for p in zip(i.tolist(), j.tolist()))
     agree = C._agree(sk[:, None], sk[None])
-    assert got == {(a, b) for a in range(200) for b in range(a + 1, 200) if agree[a, b] >= 200}
+    assert got == [(a, b) for a in range(200) for b in range(a + 1, 200) if agree[a, b] >= 50 and bucket[a] == bucket[b]]
+    assert got and m.opened < 0.2 * m.tests  # unrelated groups stay shut
 
 
 def _brute(rows, length):

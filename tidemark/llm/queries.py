@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.chunking import text_pieces
 from tidemark.llm.langid import misfits, stretches
 from tidemark.llm.leaks import leaked_items
-from tidemark.llm.nearcopies import all_pairs, near_copies
+from tidemark.llm.nearcopies import all_pairs, classes, near_copies
 from tidemark.llm.neighbours import nearest
 from tidemark.llm.packing import packed
 from tidemark.llm.segment import sentence_units
 from tidemark.llm.spans import shared_stretches
+from tidemark.session import stored
 from tidemark.sources.tables import table
 
 
@@ -34,6 +35,14 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return all_pairs(links, members).select(F.col("kind").alias("record_kind"), F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"))
 
 
+def p2_groups(spark: SparkSession, base: str) -> DataFrame:
+    """Every record with its class of near copies, its copies and its number of links."""
+    given = records(spark, base)
+    links, members = near_copies(given, "record_kind", "record_id", "text")
+    found = classes(given, "record_kind", "record_id", stored(links), members)
+    return found.select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"), "class_id", "copies", "links")
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     found = shared_stretches(table(spark, base, "sections", "id", "section_text"), "id", "section_text")
     return found.select(F.col("id").alias("section_id"), "start_pos", "end_pos")
@@ -106,8 +115,23 @@ def p9_languages(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_shared_share, p5_found, p5_neighbours, p6_found, p6_pieces, p7_packed, p7_variable, p8_found, p8_report, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p4_found, p4_shared_share, p5_found, p5_neighbours, p6_found, p6_pieces, p7_packed, p7_variable, p8_found, p8_report, p9_found, p9_languages)}
+
+
+_FORMS = """r AS (SELECT 'section' AS kind, id, section_text AS t FROM sections UNION ALL SELECT 'sentence', id, sentence_text FROM sentence_changes),
+fo AS (SELECT DISTINCT kind, id, trim(regexp_replace(lower(t), '[^\\p{L}\\p{M}\\p{Nd}]+', ' ', 'g')) AS f FROM r WHERE t IS NOT NULL),
+lo AS (SELECT kind, id, f FROM fo WHERE length(f) >= 40),
+tk AS (SELECT DISTINCT kind, f, substring(f, i, 5) AS g FROM (SELECT kind, f, unnest(range(1, length(f) - 3)) AS i FROM (SELECT DISTINCT kind, f FROM lo))),
+nt AS (SELECT kind, f, count(*) AS n FROM tk GROUP BY ALL),
+nf AS (SELECT kind, f, row_number() OVER (ORDER BY kind, f) AS no, n FROM nt),
+tn AS (SELECT kind, no, n, g FROM tk JOIN nf USING (kind, f)),
+bo AS (SELECT a.no AS x, b.no AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c FROM tn a JOIN tn b ON a.kind = b.kind AND a.g = b.g AND a.no < b.no AND a.n >= 0.69 * b.n AND b.n >= 0.69 * a.n GROUP BY ALL),
+si AS (SELECT x, y FROM bo WHERE c::DOUBLE / (nx + ny - c) >= 0.7 UNION ALL SELECT no, no FROM nf),
+wi AS (SELECT lo.kind, lo.id, nf.no FROM lo JOIN nf USING (kind, f)),
+pa AS (SELECT DISTINCT a.kind AS record_kind, least(a.id, b.id) AS record_id_a, greatest(a.id, b.id) AS record_id_b FROM si JOIN wi a ON a.no = x JOIN wi b ON b.no = y WHERE a.id <> b.id)"""
+
+SQL = {"p2_found": f"WITH {_FORMS} SELECT * FROM pa"}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
