@@ -12,8 +12,8 @@ def _table(spark, vecs):
 
 
 def test_recall(spark, monkeypatch):
-    monkeypatch.setattr(N, "CELL", 100)
-    monkeypatch.setattr(N, "BLOCK", 150)
+    monkeypatch.setattr(N, "BLOCK", 50)
+    monkeypatch.setattr(N, "_HELD", 700)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 64))
     x = (centres[rng.integers(0, 12, 1500)] + 0.6 * rng.normal(size=(1500, 64))).astype("<f4")
@@ -51,11 +51,20 @@ def test_codes_keep_inner_products():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     q = N.Quantiser(x, 4)
     home = (x @ q.centroids.T).argmax(1)
-    back = q.decode(q.encode(x, home), home)
+
+    def decoded(packed):
+        codes = np.empty((len(packed), q.pairs), np.uint8)
+        codes[:, 0::2], codes[:, 1::2] = packed & 15, packed >> 4
+        return q.book[np.arange(q.pairs), codes].reshape(len(packed), -1) + q.centroids[home]
+
+    packed = q.encode(x, home)
+    back = decoded(packed)
+    found = q.scores(x[:50], packed, home)
+    assert np.abs(found - x[:50] @ back.T).max() < 2e-3  # the table gives the sums of the quantised vectors
+    assert np.corrcoef((x[:50] @ x.T).ravel(), found.ravel())[0, 1] > 0.9
     q.eta = 1.0
-    plain = q.decode(q.encode(x, home), home)
+    plain = decoded(q.encode(x, home))
     along = [np.abs(((b - x) * x).sum(1)).mean() for b in (back, plain)]
-    assert np.corrcoef((x @ x[:50].T).ravel(), (back @ x[:50].T).ravel())[0, 1] > 0.9
     assert along[0] < 0.5 * along[1]  # the parallel error is what is penalised
 
 
@@ -72,7 +81,7 @@ def test_a_large_group_of_copies(spark):
 
 
 def test_recall_with_many_cells(spark, monkeypatch):
-    monkeypatch.setattr(N, "CELL", 10)
+    monkeypatch.setattr(N, "cells_for", lambda n: 76)  # twice as many as there would be
     rng = np.random.default_rng(4)
     x = (rng.normal(size=(4000, 16)) @ rng.normal(size=(16, 64))).astype("<f4")
     got: dict[int, set] = {}

@@ -5,15 +5,20 @@ its centroid is quantised to four bits for each pair of dimensions, by codes
 that penalise the error parallel to the vector more than the error across it
 (score-aware, anisotropic), because only the parallel error moves large inner
 products. The codes, a sixteenth of a vector, are what is copied: to the cells
-nearest to the vector. Each query scans the codes in its own cell through the
-code table, and its shortlist is reranked with whole vectors in the cells where
-the listed vectors live.
+nearest to the vector. Each query scans the codes in its own cell through a
+table of its inner products with every code, and its shortlist is reranked with
+whole vectors in the cells where the listed vectors live.
+
+The number of cells grows with the root of the number of vectors, so that
+cells and copies grow together: a code is copied to twice as many cells as the
+logarithm of their number says, and what a query scans grows with the root.
 
 Equal vectors are searched for once, by the smallest id among them, and spelled
 out in the end, so a group of copies may hold a third of all rows.
 
-Centroids and code books are fitted on a bounded sample (``SAMPLE`` to twice as
-many vectors, taken by the hash of their id); every vector is indexed.
+Centroids and code books are fitted on a bounded sample (``SAMPLE`` vectors or
+``PER_CELL`` a cell, whichever is more, taken by the hash of their id); every
+vector is indexed.
 """
 
 from __future__ import annotations
@@ -31,13 +36,16 @@ from tidemark.session import stored
 
 DIMS = 384
 SAMPLE = 10_000
-#: Vectors of a cell on average; a cell holding more than ``BLOCK`` is served in blocks.
-CELL = 400
-BLOCK = 2000
-MOST_CELLS = 8192
-#: Fewest cells that a vector's code is copied to, and fewest listed vectors; both grow with the cells.
-PROBES = 8
-SHORTLIST = 40
+PER_CELL = 12
+#: A cell expecting more queries than this is served in blocks of it.
+BLOCK = 8192
+#: The bound of the fitted model; up to some 46 million vectors cells grow with their root.
+MOST_CELLS = 4096
+#: Fewest cells that a vector's code is copied to, and fewest listed vectors.
+PROBES = 16
+SHORTLIST = 96
+#: Queries that share a table, codes scanned at once, and codes held before they are scanned.
+_TILE, _CHUNK, _HELD = 128, 2048, 65_536
 #: Ids of copies are broadcast up to this number; beyond it they are joined.
 BROADCAST_ROWS = 500_000
 #: Inner products below this share of the norm do not matter (the T of score-aware quantisation).
@@ -45,14 +53,19 @@ THRESHOLD = 0.2
 
 
 def _usable(blobs: list[bytes | None], dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the usable blobs, and which those are."""
+    """The usable vectors as they are, and which blobs hold them."""
     good = np.array([b is not None and len(b) == 4 * dims for b in blobs], bool)
     at = np.flatnonzero(good)
     x = np.frombuffer(b"".join(blobs[k] for k in at), "<f4").reshape(-1, dims).astype(np.float64)
     with np.errstate(all="ignore"):
         norm = np.sqrt((x * x).sum(1))
     ok = np.isfinite(x).all(1) & np.isfinite(norm) & (norm > 0)
-    return (x[ok] / norm[ok, None]).astype(np.float32), at[ok]
+    return x[ok].astype(np.float32), at[ok]
+
+
+def _unit(x: np.ndarray, kind: type = np.float32) -> np.ndarray:
+    x = x.astype(np.float64)
+    return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(kind)
 
 
 def _lloyd(x: np.ndarray, k: int, rounds: int, spherical: bool, rng: np.random.Generator) -> np.ndarray:
@@ -101,31 +114,53 @@ class Quantiser:
             parallel = others + along[np.arange(len(x)), codes[:, m]]
         return codes[:, 0::2] | codes[:, 1::2] << 4
 
-    def decode(self, packed: np.ndarray, home: np.ndarray) -> np.ndarray:
-        """The code table's entries: an inner product with them is the sum over the table."""
-        codes = np.empty((len(packed), self.pairs), np.uint8)
-        codes[:, 0::2] = packed & 15
-        codes[:, 1::2] = packed >> 4
-        return self.book[np.arange(self.pairs), codes].reshape(len(packed), -1) + self.centroids[home]
+    def scores(self, x: np.ndarray, packed: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """Inner products of the queries ``x`` with the quantised vectors, by look-ups in the queries' tables.
+
+        A table holds a query's inner product with each of the sixteen codes of
+        each pair of dimensions, in 16-bit steps, put together for the two codes
+        of a byte; a scan adds up one entry for each byte of the codes.
+        """
+        one = np.einsum("qmd,mkd->mkq", x.reshape(len(x), self.pairs, 2), self.book, optimize=True)
+        step = 32_000 / max(float(np.abs(one).max(1).sum(0).max()), 1e-9)
+        one = np.rint(one * step).astype(np.int16)
+        table = (one[1::2, :, None] + one[0::2, None]).reshape(self.pairs // 2, 256, len(x))
+        whole = (x @ self.centroids.T).T
+        codes = np.ascontiguousarray(packed.T)
+        out = np.empty((len(x), len(packed)), np.float32)
+        for lo in range(0, len(packed), _CHUNK):
+            some = codes[:, lo : lo + _CHUNK]
+            total, entry = np.zeros((some.shape[1], len(x)), np.int16), np.empty((some.shape[1], len(x)), np.int16)
+            for j in range(len(some)):
+                np.take(table[j], some[j], axis=0, out=entry, mode="clip")
+                total += entry
+            out[:, lo : lo + _CHUNK] = (total.astype(np.float32) / step + whole[home[lo : lo + _CHUNK]]).T
+        return out
+
+
+def cells_for(total: int) -> int:
+    return int(np.clip(round(0.6 * math.sqrt(total)), 1, MOST_CELLS))
 
 
 def probes_for(cells: int) -> int:
-    """Cells a code is copied to. Neighbours spread over more cells as these get finer: with 1.5 times their root the routing loss stays about the same."""
-    return min(cells, max(PROBES, math.ceil(1.5 * math.sqrt(cells))))
+    """Cells a code is copied to; what routing loses hardly grows with the cells (README gives the figures)."""
+    return min(cells, max(PROBES, math.ceil(2 * math.log2(cells + 1))))
 
 
-def shortlist_for(cells: int) -> int:
+def shortlist_for(total: int) -> int:
     """Vectors to rerank: more of them come between the true neighbours by the codes' error as the vectors get denser."""
-    return max(SHORTLIST, math.ceil(14 * cells**0.25))
+    return max(SHORTLIST, math.ceil(4.2 * total**0.25))
 
 
 def fit(vectors: DataFrame, dims: int, total: int) -> Quantiser:
-    """Fitted on the vectors whose hash falls into a share of the ids: ``SAMPLE`` to twice as many, whatever the total."""
-    rows = vectors.where(F.pmod(F.xxhash64("id"), F.lit(max(1, total // SAMPLE))) == 0).select("vec").collect()
+    """Fitted on the vectors whose hash falls into a share of the ids, which bounds their number whatever the total."""
+    cells = cells_for(total)
+    share = min(1.0, max(SAMPLE, PER_CELL * cells) / total)
+    rows = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select("vec").collect()
     if not rows:
         rows = vectors.select("vec").limit(SAMPLE).collect()
     sample = np.frombuffer(b"".join(r.vec for r in rows), "<f4").reshape(-1, dims)
-    return Quantiser(sample, int(np.clip(total // CELL, 1, min(MOST_CELLS, len(sample)))))
+    return Quantiser(_unit(sample), min(cells, len(sample)))
 
 
 def _fixed(col: pa.Array, width: int, kind: str) -> np.ndarray:
@@ -139,7 +174,7 @@ def nearest(records: DataFrame, key: str, blob: str, k: int = 10, dims: int = DI
     ids are left out; rows that stand twice count once. Equal similarities go
     to the smaller id. With fewer than ``k`` others all of them are listed; an
     empty table gives no rows. Other columns are not read. ``probes`` and
-    ``shortlist`` follow the number of cells unless given.
+    ``shortlist`` follow the number of vectors unless given.
     """
     spark = records.sparkSession
 
@@ -163,7 +198,7 @@ def nearest(records: DataFrame, key: str, blob: str, k: int = 10, dims: int = DI
     vectors = vectors.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "id", "left_anti").select("id", "vec")
     shared = spark.sparkContext.broadcast(fit(vectors, dims, total))
     cells = len(shared.value.centroids)
-    probes, shortlist = min(probes or probes_for(cells), cells), shortlist or shortlist_for(cells)
+    probes, shortlist = min(probes or probes_for(cells), cells), shortlist or shortlist_for(total)
     scale = total / len_sample(shared.value)
     blocks = spark.sparkContext.broadcast(np.maximum(1, np.ceil(shared.value.load * scale / BLOCK)).astype(np.int64))
 
@@ -180,7 +215,7 @@ def nearest(records: DataFrame, key: str, blob: str, k: int = 10, dims: int = DI
             if not batch.num_rows:
                 continue
             own = batch.column(0).to_numpy()
-            x = _fixed(batch.column(1), dims, "<f4")
+            x = _unit(_fixed(batch.column(1), dims, "<f4"))
             score = x @ q.centroids.T
             near = np.argpartition(-score, p - 1, axis=1)[:, :p] if p < score.shape[1] else np.tile(np.arange(p), (len(x), 1))
             home = score.argmax(1)
@@ -196,12 +231,40 @@ def nearest(records: DataFrame, key: str, blob: str, k: int = 10, dims: int = DI
                 yield copied(c[at], np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times), 1, own[at], home[at], pa.array([codes[a] for a in at], pa.binary()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries of a cell block come first, then its codes, chunk by chunk."""
+        """Queries of a cell block come first, then its codes, which are scanned some at a time."""
         q, nb = shared.value, blocks.value
         state: dict = {"at": None}
 
+        def sweep() -> None:
+            """Scan the codes at hand for all queries and keep the shortlists."""
+            if not state["codes"] or not len(state["ids"]):
+                state["codes"], state["held"] = [], 0
+                return
+            who, home = (np.concatenate([c[k] for c in state["codes"]]) for k in (0, 1))
+            packed = np.concatenate([c[2] for c in state["codes"]])
+            state["codes"], state["held"] = [], 0
+            n = len(state["ids"])
+            if state["score"] is None:
+                state["score"] = np.full((n, shortlist), -np.inf, np.float32)
+                state["cand"], state["home"] = np.zeros((n, shortlist), np.int64), np.zeros((n, shortlist), np.int32)
+            for lo in range(0, n, _TILE):
+                at = slice(lo, lo + _TILE)
+                score = q.scores(_unit(state["vec"][at]), packed, home)
+                score[state["ids"][at, None] == who[None]] = -np.inf
+                if score.shape[1] > shortlist:
+                    top = np.argpartition(-score, shortlist - 1, axis=1)[:, :shortlist]
+                else:
+                    top = np.tile(np.arange(score.shape[1]), (len(score), 1))
+                score = np.concatenate([state["score"][at], np.take_along_axis(score, top, 1)], axis=1)
+                cand, homes = np.concatenate([state["cand"][at], who[top]], axis=1), np.concatenate([state["home"][at], home[top]], axis=1)
+                top = np.argpartition(-score, shortlist - 1, axis=1)[:, :shortlist]
+                state["score"][at], state["cand"][at], state["home"][at] = (np.take_along_axis(x, top, 1) for x in (score, cand, homes))
+
         def close() -> Iterator[pa.RecordBatch]:
-            if state["at"] is None or not len(state["ids"]) or state["score"] is None:
+            if state["at"] is None:
+                return
+            sweep()
+            if not len(state["ids"]) or state["score"] is None:
                 return
             qid, vec = state["ids"], state["vec"]
             kept = np.isfinite(state["score"])
@@ -229,27 +292,16 @@ def nearest(records: DataFrame, key: str, blob: str, k: int = 10, dims: int = DI
                 at = (int(cell[a]), int(block[a]))
                 if at != state["at"]:
                     yield from close()
-                    state = {"at": at, "ids": np.zeros(0, np.int64), "vec": np.zeros((0, dims), np.float32), "score": None}
+                    state = {"at": at, "ids": np.zeros(0, np.int64), "vec": np.zeros((0, dims), np.float32), "score": None, "codes": [], "held": 0}
                 part = batch.slice(a, b - a)
                 if kind[a] == 0:
                     state["ids"] = np.append(state["ids"], part.column(3).to_numpy())
                     state["vec"] = np.concatenate([state["vec"], _fixed(part.column(5), dims, "<f4")])
                     continue
-                if not len(state["ids"]):
-                    continue
-                for lo in range(0, b - a, 2048):
-                    piece = part.slice(lo, 2048)
-                    who, home = piece.column(3).to_numpy(), piece.column(4).to_numpy()
-                    score = state["vec"] @ q.decode(_fixed(piece.column(5), dims // 4, np.uint8), home).T
-                    score[state["ids"][:, None] == who[None]] = -np.inf
-                    cand, homes = np.broadcast_to(who, score.shape), np.broadcast_to(home, score.shape)
-                    if state["score"] is not None:
-                        score = np.concatenate([state["score"], score], axis=1)
-                        cand, homes = np.concatenate([state["cand"], cand], axis=1), np.concatenate([state["home"], homes], axis=1)
-                    if score.shape[1] > shortlist:
-                        top = np.argpartition(-score, shortlist - 1, axis=1)[:, :shortlist]
-                        score, cand, homes = (np.take_along_axis(x, top, 1) for x in (score, cand, homes))
-                    state["score"], state["cand"], state["home"] = score, cand, homes
+                state["codes"].append((part.column(3).to_numpy(), part.column(4).to_numpy(), _fixed(part.column(5), dims // 4, np.uint8)))
+                state["held"] += b - a
+                if state["held"] >= _HELD:
+                    sweep()
         yield from close()
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,9 +327,9 @@ def nearest(records: DataFrame, key: str, blob: str, k: int = 10, dims: int = DI
                 cand = lists.flatten().to_numpy()
                 sizes = np.diff(lists.offsets.to_numpy())
                 who = np.repeat(np.arange(b - a), sizes)
-                q = _fixed(part.column(4), dims, "<f4").astype(np.float64)
+                q = _unit(_fixed(part.column(4), dims, "<f4"), np.float64)
                 found = sorter[np.searchsorted(ids, cand, sorter=sorter)]
-                sim = np.concatenate([np.einsum("nd,nd->n", q[who[s : s + 8192]], vec[found[s : s + 8192]].astype(np.float64)) for s in range(0, len(who), 8192)])
+                sim = np.concatenate([np.einsum("nd,nd->n", q[who[s : s + 8192]], _unit(vec[found[s : s + 8192]], np.float64)) for s in range(0, len(who), 8192)])
                 yield pa.RecordBatch.from_arrays([pa.array(part.column(3).to_numpy()[who]), pa.array(cand), pa.array(sim)], names=["id", "other", "similarity"])
 
     routed = vectors.mapInArrow(assign, "cell int, block int, kind tinyint, id bigint, home int, data binary")
@@ -289,7 +341,7 @@ def nearest(records: DataFrame, key: str, blob: str, k: int = 10, dims: int = DI
             if not batch.num_rows:
                 continue
             own = batch.column(0).to_numpy()
-            home = (_fixed(batch.column(1), dims, "<f4") @ q.centroids.T).argmax(1)
+            home = (_unit(_fixed(batch.column(1), dims, "<f4")) @ q.centroids.T).argmax(1)
             yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array((own % nb[home]).astype(np.int32)), pa.array(np.zeros(len(own), np.int8)), batch.column(0), batch.column(1)], names=["cell", "block", "kind", "id", "data"])
 
     living = vectors.mapInArrow(homes, "cell int, block int, kind tinyint, id bigint, data binary").withColumn("cands", F.lit(None).cast("array<bigint>"))

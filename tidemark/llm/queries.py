@@ -130,7 +130,18 @@ si AS (SELECT x, y FROM bo WHERE c::DOUBLE / (nx + ny - c) >= 0.7 UNION ALL SELE
 wi AS (SELECT lo.kind, lo.id, nf.no FROM lo JOIN nf USING (kind, f)),
 pa AS (SELECT DISTINCT a.kind AS record_kind, least(a.id, b.id) AS record_id_a, greatest(a.id, b.id) AS record_id_b FROM si JOIN wi a ON a.no = x JOIN wi b ON b.no = y WHERE a.id <> b.id)"""
 
-SQL = {"p2_found": f"WITH {_FORMS} SELECT * FROM pa"}
+#: 32-bit floats read from the hexadecimal digits of their bytes, and the ten most similar others of each usable vector.
+_NEAR = """hx AS (SELECT DISTINCT id, hex(embedding) AS h FROM sections WHERE octet_length(embedding) = 1536),
+ui AS (SELECT id, i, ('0x' || h[8 * i + 7 : 8 * i + 8] || h[8 * i + 5 : 8 * i + 6] || h[8 * i + 3 : 8 * i + 4] || h[8 * i + 1 : 8 * i + 2])::BIGINT AS u FROM hx, range(0, 384) t(i)),
+fl AS (SELECT id, i, (u >> 23) & 255 AS e, CASE WHEN u >= 2147483648 THEN -1 ELSE 1 END * CASE WHEN ((u >> 23) & 255) = 0 THEN (u & 8388607) * pow(2.0, -149) ELSE (1 + (u & 8388607) / 8388608.0::DOUBLE) * pow(2.0, ((u >> 23) & 255) - 127) END AS x FROM ui),
+ve AS (SELECT id, list(x ORDER BY i) AS v FROM fl GROUP BY id HAVING max(e) < 255 AND sum(x * x) > 0),
+ne AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS similarity FROM ve a JOIN ve b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 7) DESC, b.id) <= 10)"""
+
+SQL = {
+    "p2_found": f"WITH {_FORMS} SELECT * FROM pa",
+    "p5_found": f"WITH {_NEAR} SELECT DISTINCT least(id, other) AS section_id_a, greatest(id, other) AS section_id_b FROM ne",
+    "p5_neighbours": f"WITH {_NEAR} SELECT id AS section_id, other AS neighbour_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY id ORDER BY round(similarity, 7) DESC, other)::INT AS rank FROM ne WHERE id % 20 = 0",
+}
 
 
 def oracle_sql() -> dict[str, str]:
