@@ -46,8 +46,8 @@ j2 AS (SELECT *, CASE WHEN peak AND spread > 0 THEN greatest(abs(residual) / spr
 o AS (SELECT field_name, company_id, section, count(excess) AS k, avg(excess) AS m, var_samp(excess) AS v, count(residual) AS total FROM j2 GROUP BY ALL),
 w AS (SELECT field_name, count(excess) AS k, avg(excess) AS m, var_samp(excess) AS v, count(residual) AS total FROM j2 GROUP BY ALL),
 l0 AS (SELECT o.field_name, o.company_id, o.section, o.k < 10 OR o.v IS NULL OR o.v <= 0.000000001 AS few, o.k AS k1, o.m AS m1, o.v AS v1, o.total AS t1, w.k AS k2, w.m AS m2, w.v AS v2, w.total AS t2 FROM o JOIN w USING (field_name)),
-l1 AS (SELECT field_name, company_id, section, CASE WHEN few THEN k2 ELSE k1 END AS k, CASE WHEN few THEN m2 ELSE m1 END AS m, CASE WHEN few THEN v2 ELSE v1 END AS v, CASE WHEN few THEN t2 ELSE t1 END AS total FROM l0),
-l2 AS (SELECT *, least(0.5::DOUBLE * (1 - m * m / nullif(v, 0)), 0.45::DOUBLE) AS shape, 0.5::DOUBLE * m * (1 + m * m / nullif(v, 0)) AS scale, 0.0001::DOUBLE * total / nullif(k, 0) AS rate FROM l1),
+l1 AS (SELECT field_name, company_id, section, CASE WHEN few THEN k2 ELSE k1 END AS k, CASE WHEN few THEN m2 ELSE m1 END AS m, CASE WHEN CASE WHEN few THEN v2 ELSE v1 END > 0.000000001 THEN CASE WHEN few THEN v2 ELSE v1 END END AS v, CASE WHEN few THEN t2 ELSE t1 END AS total FROM l0),
+l2 AS (SELECT *, least(0.5::DOUBLE * (1 - m * m / v), 0.45::DOUBLE) AS shape, 0.5::DOUBLE * m * (1 + m * m / v) AS scale, 0.0001::DOUBLE * total / nullif(k, 0) AS rate FROM l1),
 l3 AS (SELECT field_name, company_id, section, 3 + CASE WHEN abs(shape) < 0.000001 THEN -scale * ln(rate) ELSE scale / shape * (pow(rate, -shape) - 1) END AS cutoff FROM l2)"""
 
 SQL = {
