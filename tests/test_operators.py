@@ -71,9 +71,27 @@ def test_negation_turns_sentiment(spark):
     assert got[4].uncertainty == pytest.approx(1 / 3) and got[5].negative == 0 and 6 not in got
 
 
-def test_greedy_matching_is_one_to_one(spark):
-    e = spark.createDataFrame([(1, 0, 0, 0.9), (1, 0, 1, 0.8), (1, 1, 0, 0.85), (1, 1, 1, 0.6), (2, 5, 5, 0.7)], "section_id bigint, i int, j int, sim double")
-    assert sorted((r.section_id, r.i, r.j) for r in N.greedy(e).collect()) == [(1, 0, 0), (1, 1, 1), (2, 5, 5)]
+def test_greedy_matching_is_one_to_one():
+    import numpy as np
+
+    i, j = N._greedy(np.array([[0.9, 0.8], [0.85, 0.6]]), 0.55)
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 0), (1, 1)]
+    assert len(N._greedy(np.zeros((3, 2)), 0.25)[0]) == 0
+
+
+def test_alignment_of_hand_made_texts(spark):
+    p = spark.createDataFrame([(1, 0, "Revenue rose in all of our regions. We closed two plants here. Nothing else was new.", "Revenue rose in all of our regions. We closed three plants here. Dividends were paid in May.", None), (2, 0, "", "One new sentence.", None)], PAIR)
+    got = {r.section_id: r for r in N.alignment(N.pair_sentences(p, most=300)).collect()}
+    assert (got[1].unchanged, got[1].changed, got[1].added, got[1].removed) == (1, 1, 1, 1)
+    assert (got[2].n_prev, got[2].n_curr, got[2].added) == (0, 1, 1)
+
+
+def test_training_tiers_of_negatives(spark):
+    p = spark.createDataFrame([(1, 0, "We hold a strong financial position today. Cash is ample in every one of our units.", "There is substantial doubt about our going concern status. Cash is ample in every one of our units.", None)], PAIR)
+    rows = N.tier_critical(N.pair_sentences(p, 30)).collect()
+    assert [(r.text_a[:8], r.text_b[:7], r.label) for r in rows] == [("There is", "We hold", 0.0)]
+    s = spark.createDataFrame([(1, "mdna", "a", "A", 1, 0), (1, "mdna", "a", "A again", 2, 0), (1, "business", "b", "B", 3, 0), (2, "mdna", "c", "C", 4, 0)], "company_id bigint, section string, norm string, sentence string, section_id bigint, no int")
+    assert [(r.section_a, r.text_a, r.text_b) for r in N.tier_cross(s).collect()] == [("mdna", "A", "B")]
 
 
 def test_truncation(spark):

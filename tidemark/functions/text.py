@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.lexicons import ABBREVIATIONS, STOP_WORDS
 
+# What counts as a word and as a number.
 WORD = r"(?U)\b[a-zA-Z]+(?:'[a-zA-Z]+)?\b"
+NUMBER = r"\$[\d,.]+|\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+%|\d+%"
 _AB = "|".join(ABBREVIATIONS)
 NAIVE_BREAK = r"(?U)(?<=[.!?])\s+(?=[A-Z])"
 BREAK = rf"(?U)(?<=[.!?])(?<!(?:{_AB})\.)(?<![A-Z]\.[A-Z]\.)\s+(?=[A-Z])(?!(?:{_AB})\.)(?![A-Z]\.[A-Z]\.)"
-NUMBER = r"\$[\d,.]+|\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+%|\d+%"
 
 
 def stripped(c: Column) -> Column:

@@ -64,10 +64,45 @@ def findings(scores: DataFrame, patterns: DataFrame) -> DataFrame:
     return one.unionAll(two).unionAll(three).unionAll(four).unionAll(five).withColumn("severity_rank", F.coalesce(rank[F.col("severity")], F.lit(99)))
 
 
+def _ranked(found: DataFrame) -> DataFrame:
+    return found.withColumn("no", F.row_number().over(Window.partitionBy("company_id").orderBy("severity_rank", "category")))
+
+
+def headlines(scores: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame:
+    """(company_id, headline, tone) from fixed templates; ``labels`` has (company_id, label)."""
+    top = _ranked(found).where("no = 1").select("company_id", "category")
+    tone = F.when(F.col("sentiment") > 0.15, "sharply more negative").when(F.col("sentiment") > 0.08, "more negative").otherwise("little changed")
+    line = F.concat("label", F.lit(": "), F.initcap("risk_level"), F.lit(" risk -- "), F.coalesce("category", F.lit("no significant findings")))
+    return scores.join(labels, "company_id").join(top, "company_id", "left").select("company_id", line.alias("headline"), tone.alias("tone"))
+
+
+def actions(scores: DataFrame, found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(company_id, no, action): what the level, the most severe findings and the two strongest patterns call for."""
+    s = scores.select("company_id", "risk_level")
+    critical = found.where("severity = 'critical'").withColumn("no", F.row_number().over(Window.partitionBy("company_id").orderBy("category")))
+    line = lambda rows, pos, text: rows.select("company_id", pos.cast("int").alias("pos"), text.alias("action"))
+    level = lambda *names: s.where(F.col("risk_level").isin(*names))
+    parts = [
+        line(level("critical").join(critical.where("no <= 3"), "company_id"), F.col("no"), F.concat(F.lit("Immediate review required -- "), "category")),
+        line(level("critical").join(critical, "company_id", "left_anti"), F.lit(1), F.lit("Immediate review required -- critical risk score")),
+        line(level("high"), F.lit(0), F.lit("Monitor closely -- elevated risk across multiple signals")),
+        line(level("high").join(_ranked(found).where("no <= 2 and severity in ('critical', 'high')"), "company_id"), F.col("no"), F.concat(F.lit("Investigate: "), "category")),
+        line(level("elevated", "moderate"), F.lit(1), F.lit("Watch for escalation in the next filing period")),
+        line(level("low", "minimal"), F.lit(1), F.lit("No action needed -- filing within historical norms")),
+    ]
+    best = patterns.withColumn("no", F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("score"), "pattern"))).where("no <= 2 and (pattern = 'lazy_prices' and score > 0.5 or pattern = 'silent_deletion')")
+    said = F.when(F.col("pattern") == "lazy_prices", "Review for Lazy Prices signal -- consider position adjustment").otherwise("Review removed risk phrases for potential concealment")
+    parts.append(line(best.join(s, "company_id", "left_semi"), F.col("no") + 100, said))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.select("company_id", F.row_number().over(Window.partitionBy("company_id").orderBy("pos")).alias("no"), "action")
+
+
 def predictions(scores: DataFrame, patterns: DataFrame, found: DataFrame) -> DataFrame:
     """(company_id, prediction, risk, confidence) from patterns and the overall score."""
-    spec = F.when(F.col("pattern") == "lazy_prices", 0.7).when(F.col("pattern") == "sentiment_reversal", 0.6).when(F.col("pattern") == "explosion", 0.5)
-    risk = F.when((F.col("pattern") == "lazy_prices") & (F.col("score") >= 0.7), "high").otherwise("moderate")
+    spec = F.when(F.col("pattern") == "lazy_prices", 0.7).when(F.col("pattern") == "going_concern", 0.8).when(F.col("pattern") == "sentiment_reversal", 0.6).when(F.col("pattern") == "explosion", 0.5)
+    risk = F.when(F.col("pattern") == "going_concern", "high").when((F.col("pattern") == "lazy_prices") & (F.col("score") >= 0.7), "high").otherwise("moderate")
     one = patterns.where((F.col("pattern") != "lazy_prices") | (F.col("score") > 0.5)).where(spec.isNotNull()).select("company_id", F.col("pattern").alias("prediction"), risk.alias("risk"), F.round(F.col("score") * spec, 2).alias("confidence"))
     high = one.where("risk = 'high'").select("company_id").distinct()
     two = scores.where("risk_score >= 0.75").join(high, "company_id", "left_anti").select("company_id", F.lit("overall"), F.lit("high"), F.round(F.col("risk_score") * 0.6, 2))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,44 +111,74 @@ def exact_changes(sents: DataFrame) -> DataFrame:
     return s.join(other, ["section_id", "side", "norm"], "left_anti").select("section_id", F.when(F.col("side") == 1, "added").otherwise("removed").alias("change"), "no", "sentence")
 
 
-def similar_sentences(sents: DataFrame, least: float = 0.25) -> DataFrame:
-    """(section_id, i, j, sim): cosine of word counts of previous sentence i and this side's sentence j; joined by shared words."""
-    words = sents.select("section_id", "side", "no", F.explode(T.tokens(F.col("sentence"))).alias("token")).groupBy("section_id", "side", "no", "token").agg(F.count("*").alias("n"))
-    norms = words.groupBy("section_id", "side", "no").agg(F.sum(F.col("n") * F.col("n")).alias("q"))
-    w = words.join(norms, ["section_id", "side", "no"])
-    a = w.where("side = 0").select("section_id", "token", F.col("no").alias("i"), F.col("n").alias("x"), F.col("q").alias("qa"))
-    b = w.where("side = 1").select("section_id", "token", F.col("no").alias("j"), F.col("n").alias("y"), F.col("q").alias("qb"))
-    dots = a.join(b, ["section_id", "token"]).groupBy("section_id", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.first("qa").alias("qa"), F.first("qb").alias("qb"))
-    return dots.withColumn("sim", F.round(F.col("dot") / F.sqrt(F.col("qa") * F.col("qb")), 6)).where(F.col("sim") >= least).select("section_id", "i", "j", "sim")
+def _by_pair(sents: DataFrame):
+    """Sentences with their words, grouped by pair of texts."""
+    return sents.select("section_id", "side", "no", T.tokens(F.col("sentence")).alias("w")).groupBy("section_id")
+
 
+def _cosines(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the previous and of this side's sentences, products of their word counts, and their squared lengths."""
+    order = np.lexsort((t["no"].to_numpy(), t["side"].to_numpy()))
+    side, no = t["side"].to_numpy()[order], t["no"].to_numpy()[order]
+    words = t["w"].combine_chunks().take(pa.array(order))
+    code = words.flatten().dictionary_encode()
+    counts = np.zeros((len(side), max(1, len(code.dictionary))), np.float64)
+    np.add.at(counts, (np.repeat(np.arange(len(side)), np.asarray(pc.list_value_length(words))), code.indices.to_numpy()), 1)
+    q = (counts * counts).sum(1)
+    k = int((side == 0).sum())
+    return no[:k], no[k:], counts[:k] @ counts[k:].T, q[:k], q[k:]
 
-def greedy(edges: DataFrame, name: str = "matches") -> DataFrame:
-    """One-to-one matching of each pair's edges in order of (sim descending, i, j), as one fold over the sorted edges.
 
-    A pair has no more than ``MOST_SENTENCES`` sentences a side, so its edges are bounded.
+def similar_sentences(sents: DataFrame, least: float = 0.25) -> DataFrame:
+    """(section_id, i, j, sim): cosine of word counts of previous sentence i and this side's sentence j.
+
+    One product of two small matrices for each pair of texts, which must be cut to ``MOST_SENTENCES`` before.
     """
-    sorted_ = F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("d"), "i", "j")))
-    grouped = edges.groupBy("section_id").agg(sorted_.alias("e"))
-    start = F.struct(F.array().cast("array<int>").alias("a"), F.array().cast("array<int>").alias("b"), F.array().cast("array<struct<d:double,i:int,j:int>>").alias("m"))
-    step = lambda acc, x: F.when(F.array_contains(acc["a"], x["i"]) | F.array_contains(acc["b"], x["j"]), acc).otherwise(F.struct(F.array_append(acc["a"], x["i"]).alias("a"), F.array_append(acc["b"], x["j"]).alias("b"), F.array_append(acc["m"], x).alias("m")))
-    folded = grouped.select("section_id", F.aggregate("e", start, step, lambda acc: acc["m"]).alias("m"))
-    return folded.select("section_id", F.inline("m")).select("section_id", "i", "j", (-F.col("d")).alias("sim"))
 
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        ni, nj, dot, qa, qb = _cosines(t)
+        i, j = np.nonzero(dot)
+        return pa.table({"section_id": pa.array([key[0].as_py()] * len(i), pa.int64()), "i": pa.array(ni[i].astype(np.int32)), "j": pa.array(nj[j].astype(np.int32)), "dot": pa.array(dot[i, j]), "q": pa.array(qa[i] * qb[j])})
+
+    dots = _by_pair(sents).applyInArrow(run, "section_id bigint, i int, j int, dot double, q double")
+    return dots.withColumn("sim", F.round(F.col("dot") / F.sqrt("q"), 6)).where(F.col("sim") >= least).select("section_id", "i", "j", "sim")
+
+
+def _greedy(sim: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """One-to-one matching in order of (similarity descending, i, j)."""
+    i, j = np.nonzero(sim >= least)
+    order = np.lexsort((j, i, -sim[i, j]))
+    left, right = np.zeros(sim.shape[0], bool), np.zeros(sim.shape[1], bool)
+    out = []
+    for a, b in zip(i[order].tolist(), j[order].tolist()):
+        if not (left[a] or right[b]):
+            left[a] = right[b] = True
+            out.append((a, b))
+    got = np.array(out, int).reshape(-1, 2)
+    return got[:, 0], got[:, 1]
 
-def alignment(sents: DataFrame, edges: DataFrame, match: float = 0.55, same: float = 0.85) -> DataFrame:
-    """(section_id, unchanged, changed, added, removed, replacements) by greedy matching.
+
+def alignment(sents: DataFrame, match: float = 0.55, same: float = 0.85, likely: float = 0.25) -> DataFrame:
+    """(section_id, n_prev, n_curr, unchanged, changed, replacements, added, removed) by greedy matching.
 
     Matches of ``same`` or more are unchanged, of ``match`` or more changed; what
-    is left is added or removed, and pairs of it matched at 0.25 or more are
-    likely replacements, which stay counted as added and removed.
+    is left is added or removed, and pairs of it matched at ``likely`` or more are
+    likely replacements, which stay counted as added and removed. A pair has no
+    more than ``MOST_SENTENCES`` sentences a side.
     """
-    m = greedy(edges.where(F.col("sim") >= match))
-    rest = edges.join(m.select("section_id", "i"), ["section_id", "i"], "left_anti").join(m.select("section_id", "j"), ["section_id", "j"], "left_anti")
-    likely = greedy(rest).groupBy("section_id").agg(F.count("*").alias("replacements"))
-    n = sents.groupBy("section_id").agg(F.count_if(F.col("side") == 0).alias("n_prev"), F.count_if(F.col("side") == 1).alias("n_curr"))
-    c = m.groupBy("section_id").agg(F.count_if(F.col("sim") >= same).alias("unchanged"), F.count_if(F.col("sim") < same).alias("changed"))
-    zero = lambda x: F.coalesce(F.col(x), F.lit(0)).alias(x)
-    j = n.join(c, "section_id", "left").join(likely, "section_id", "left").select("section_id", "n_prev", "n_curr", zero("unchanged"), zero("changed"), zero("replacements"))
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        ni, nj, dot, qa, qb = _cosines(t)
+        length = np.sqrt(qa[:, None] * qb[None])
+        sim = np.floor(np.divide(dot, length, out=np.zeros_like(dot), where=length > 0) * 1e6 + 0.5) / 1e6
+        i, j = _greedy(sim, match)
+        unchanged = int((sim[i, j] >= same).sum())
+        rest = sim.copy()
+        rest[i], rest[:, j] = -1, -1
+        again = len(_greedy(rest, likely)[0])
+        return pa.table({c: pa.array([v], pa.int64()) for c, v in (("section_id", key[0].as_py()), ("n_prev", len(ni)), ("n_curr", len(nj)), ("unchanged", unchanged), ("changed", len(i) - unchanged), ("replacements", again))})
+
+    j = _by_pair(sents).applyInArrow(run, "section_id bigint, n_prev bigint, n_curr bigint, unchanged bigint, changed bigint, replacements bigint")
     return j.withColumn("added", F.col("n_curr") - F.col("unchanged") - F.col("changed")).withColumn("removed", F.col("n_prev") - F.col("unchanged") - F.col("changed"))
 
 
@@ -181,21 +214,94 @@ def tier_exact(sents: DataFrame) -> DataFrame:
 
 def tier_overlap(sents: DataFrame, least: float = 0.8) -> DataFrame:
     """Each previous sentence without an exact copy, with the sentence of this side of the best word overlap (the first of equals)."""
-    s = sents.withColumn("norm", normal(F.col("sentence"))).withColumn("w", F.array_distinct(T.tokens(F.col("sentence"))))
-    copies = s.where("side = 1").select("section_id", "norm").distinct()
-    a = s.where("side = 0").join(copies, ["section_id", "norm"], "left_anti").select("section_id", F.col("no").alias("i"), F.col("sentence").alias("text_a"), F.size("w").alias("na"), F.explode("w").alias("t"))
-    b = s.where("side = 1").select("section_id", F.col("no").alias("j"), F.col("sentence").alias("text_b"), F.size("w").alias("nb"), F.explode("w").alias("t"))
-    shared = a.join(b, ["section_id", "t"]).groupBy("section_id", "i", "j").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("text_a").alias("text_a"), F.first("text_b").alias("text_b"))
-    scored = shared.withColumn("label", F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).where(F.col("label") >= least)
-    best = Window.partitionBy("section_id", "i").orderBy(F.desc("label"), "j")
-    return scored.withColumn("r", F.row_number().over(best)).where("r = 1").select("section_id", F.col("i").alias("no"), "text_a", "text_b", F.round("label", 4).alias("label"))
-
-
-def tier_across(sents: DataFrame) -> DataFrame:
-    """The same sentence in several companies: the first company's wording with each other company's, a star instead of all pairs."""
+    s = sents.select("section_id", "side", "no", "sentence", normal(F.col("sentence")).alias("norm"), F.array_distinct(T.tokens(F.col("sentence"))).alias("w"))
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        side, no, text, norm, words = (t[c].to_pylist() for c in ("side", "no", "sentence", "norm", "w"))
+        mine = sorted((k for k in range(len(side)) if side[k] == 1), key=lambda k: no[k])
+        copies = {norm[k] for k in mine}
+        size = np.array([len(words[k]) for k in mine])
+        where: dict[str, list[int]] = {}
+        for at, k in enumerate(mine):
+            for w in words[k]:
+                where.setdefault(w, []).append(at)
+        posted = {w: np.array(x) for w, x in where.items()}
+        out: list[tuple] = []
+        for k in range(len(side)):
+            if side[k] or norm[k] in copies or not words[k]:
+                continue
+            hits = [posted[w] for w in words[k] if w in posted]
+            if len(hits) < least * len(words[k]):
+                continue  # even all of them would not do
+            both = np.bincount(np.concatenate(hits), minlength=len(mine))
+            share = both / (len(words[k]) + size - both)
+            best = int(share.argmax())
+            if share[best] >= least:
+                out.append((no[k], text[k], text[mine[best]], float(share[best])))
+        cols = list(zip(*out)) or [[], [], [], []]
+        return pa.table({"section_id": pa.array([key[0].as_py()] * len(out), pa.int64()), "no": pa.array(cols[0], pa.int32()), "text_a": pa.array(cols[1], pa.string()), "text_b": pa.array(cols[2], pa.string()), "label": pa.array(cols[3], pa.float64())})
+
+    scored = s.groupBy("section_id").applyInArrow(run, "section_id bigint, no int, text_a string, text_b string, label double")
+    return scored.withColumn("label", F.round("label", 4))
+
+
+#: Sections whose sentences mean different things.
+CROSS_SECTIONS = [("risk_factors", "mdna"), ("risk_factors", "business"), ("mdna", "business")]
+
+
+def tier_cross(sents: DataFrame, cap: int = 33) -> DataFrame:
+    """(company_id, section_a, section_b, text_a, text_b, label 0): sentences of two different sections of one company, put together in the order of a seeded hash, up to ``cap`` for each pair of sections; equal wordings of a section count once.
+
+    ``sents`` has (company_id, section, norm, sentence, section_id, no).
+    """
+    once = sents.groupBy("company_id", "section", "norm").agg(F.min_by("sentence", F.struct("section_id", "no")).alias("sentence"))
+    order = Window.partitionBy("company_id", "section").orderBy(F.md5(F.concat(F.lit("42:"), "norm")), "norm")
+    n = once.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= cap)
+    pairs = F.broadcast(sents.sparkSession.createDataFrame(CROSS_SECTIONS, "section_a string, section_b string"))  # three rows
+    a = n.select("company_id", F.col("section").alias("section_a"), "rn", F.col("sentence").alias("text_a")).join(pairs, "section_a")
+    b = n.select("company_id", F.col("section").alias("section_b"), "rn", F.col("sentence").alias("text_b"))
+    return a.join(b, ["company_id", "section_b", "rn"]).select("company_id", "section_a", "section_b", "text_a", "text_b", F.lit(0.0).alias("label"))
+
+
+def tier_critical(sents: DataFrame, terms: list[str] = CRITICAL_TERMS) -> DataFrame:
+    """(section_id, no, text_a, text_b, label 0): each added sentence with a critical term, with a removed one of the same pair of texts.
+
+    The n-th such sentence gets the n-th removed one in the order of a seeded hash, beginning again after the last.
+    """
+    e = exact_changes(sents)
+    gone = e.where("change = 'removed'").withColumn("rn", F.row_number().over(Window.partitionBy("section_id").orderBy(F.md5(F.concat(F.lit("42:"), "sentence")), "no")) - 1)
+    sized = gone.join(gone.groupBy("section_id").agg(F.count("*").alias("k")), "section_id")
+    new = e.where("change = 'added'").where(has_any(F.lower("sentence"), terms)).withColumn("n", F.row_number().over(Window.partitionBy("section_id").orderBy("no")) - 1)
+    k = sized.groupBy("section_id").agg(F.first("k").alias("k"))
+    j = new.join(k, "section_id").withColumn("rn", F.expr("n % k").cast("int"))
+    return j.join(gone.select("section_id", F.col("rn").cast("int").alias("rn"), F.col("sentence").alias("text_b")), ["section_id", "rn"]).select("section_id", "no", F.col("sentence").alias("text_a"), "text_b", F.lit(0.0).alias("label"))
+
+
+def outcome_pairs(spark, prices: DataFrame | None) -> DataFrame:
+    """Pairs anchored in what happened to the price afterwards: empty without prices, not defined with them."""
+    if prices is not None:
+        raise NotImplementedError("outcomes from prices are not defined")
+    return spark.createDataFrame([], "id int, text_a string, text_b string, label double")
+
+
+def tier_across(sents: DataFrame, least: int = 3) -> DataFrame:
+    """The same sentence in ``least`` companies or more: the hub's wording (that of the first company) with each other member's, label 0.9.
+
+    Hub and members say which pairs there are without spelling them all out; ``companies`` is the size of the group.
+    """
     one = sents.groupBy("norm", "company_id").agg(F.min_by("sentence", F.struct("section_id", "no")).alias("sentence"))
-    hub = one.groupBy("norm").agg(F.min(F.struct("company_id", "sentence")).alias("h"), F.count("*").alias("k")).where("k > 1")
-    return one.join(hub, "norm").where("company_id > h.company_id").select("norm", F.col("h.company_id").alias("company_a"), F.col("company_id").alias("company_b"), F.col("h.sentence").alias("text_a"), F.col("sentence").alias("text_b"))
+    hub = one.groupBy("norm").agg(F.min(F.struct("company_id", "sentence")).alias("h"), F.count("*").alias("companies")).where(F.col("companies") >= least)
+    return one.join(hub, "norm").where("company_id > h.company_id").select("norm", F.col("h.company_id").alias("company_a"), F.col("company_id").alias("company_b"), F.col("h.sentence").alias("text_a"), F.col("sentence").alias("text_b"), "companies", F.lit(0.9).alias("label"))
+
+
+def filtered_risk(scored: DataFrame, others: DataFrame, key: str, least: int = 3) -> DataFrame:
+    """(key, max_score, level, critical, high, boilerplate_filtered, substantive): summary of scored changes once sentences that ``least`` other companies say count as boilerplate.
+
+    ``scored`` has (key, id, score), ``others`` (id, others); changes without a count are unique.
+    """
+    s = scored.join(others, "id", "left").withColumn("score", F.when(F.coalesce("others", F.lit(0)) >= least, 0.05).otherwise(F.col("score")))
+    g = s.groupBy(key).agg(F.max("score").alias("max_score"), F.count_if(F.col("score") >= 0.9).alias("critical"), F.count_if((F.col("score") >= 0.6) & (F.col("score") < 0.9)).alias("high"), F.count_if(F.col("score") <= 0.05).alias("boilerplate_filtered"), F.count_if(F.col("score") > 0.05).alias("substantive"))
+    return g.withColumn("level", F.when(F.col("max_score") >= 0.9, "critical").when(F.col("max_score") >= 0.6, "high").when(F.col("max_score") >= 0.3, "medium").otherwise("low"))
 
 
 def label_bands(changes: DataFrame) -> DataFrame:
@@ -220,17 +326,19 @@ def quality_report(pairs: DataFrame) -> DataFrame:
     words = T.tokens(F.col("text_a"))
     one = pairs.agg(
         F.count("*").alias("n"), F.round(F.avg("label"), 6).alias("mean_label"), F.round(F.stddev_pop("label"), 6).alias("std_label"), F.min("label").alias("min_label"), F.max("label").alias("max_label"),
-        F.round(F.avg(F.length("text_a")), 6).alias("mean_chars"), F.round(F.avg(F.size(words)), 6).alias("mean_tokens"), F.count_if(F.col("label") >= 0.5).alias("positive"),
+        F.round(F.avg(F.length("text_a")), 6).alias("mean_chars"), F.round(F.avg(F.size(words)), 6).alias("mean_tokens"), F.count_if(F.col("label") >= 0.5).alias("positive"), F.count_if(F.col("label") < 0.5).alias("negative"),
     )
     vocabulary = pairs.select(F.explode(words).alias("t")).agg(F.count_distinct("t").alias("distinct_tokens"))
-    return one.crossJoin(vocabulary)  # one row each
+    ratio = F.coalesce(F.try_divide(F.col("positive").cast("double"), F.col("negative").cast("double")), F.lit(float("inf")))
+    return one.crossJoin(vocabulary).withColumn("pos_neg_ratio", F.round(ratio, 6))  # one row each
 
 
 def budgeted(tiers: dict[int, DataFrame], total: int, shares: dict[int, float]) -> DataFrame:
     """(tier, text_a, text_b, label): of each tier as many pairs as its share of ``total`` allows, in the order of a seeded hash; equal pairs once."""
     out = None
     for tier, rows in tiers.items():
-        one = rows.select(F.lit(tier).alias("tier"), "text_a", "text_b", "label").distinct()
+        one = rows.select(F.lit(tier).alias("tier"), "text_a", "text_b", "label", normal(F.col("text_a")).alias("na"), normal(F.col("text_b")).alias("nb"))
+        one = one.groupBy("tier", "na", "nb").agg(F.min(F.struct("text_a", "text_b", "label")).alias("r")).select("tier", "r.*")  # one wording of each pair
         out = one if out is None else out.unionAll(one)
     order = F.md5(F.concat_ws("|", F.lit("42"), "text_a", "text_b"))
     budget = F.create_map(*[F.lit(x) for t, share in shares.items() for x in (t, int(total * share))])

@@ -148,6 +148,25 @@ def reversal(s: DataFrame) -> DataFrame:
     return g.select(*KEY, "before", "now", F.round(F.least((1 - F.col("now") / F.col("before")), F.lit(1.0)), 4).alias("score"))
 
 
+# Words of doubt about a company's future.
+CONCERN = ["going concern", "substantial doubt", "ability to continue"]
+
+
+def going_concern(s: DataFrame, moves: DataFrame, words: list[str] = CONCERN) -> DataFrame:
+    """(company_id, phrases, rising, score): companies in whose texts a phrase of concern appeared; 0.7 if negativity rose in the last two scores that have one, else 0.4.
+
+    ``moves`` has (company_id, phrase, status).
+    """
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | F.contains(F.lower("phrase"), F.lit(w))
+    new = moves.where((F.col("status") == "appeared") & hit).groupBy("company_id").agg(F.count_distinct("phrase").alias("phrases"))
+    back = Window.partitionBy("company_id").orderBy(F.desc("filing_date"), F.desc("filing_id"), F.desc("section"))
+    last = s.where("neg is not null").select("company_id", "neg", F.row_number().over(back).alias("r")).where("r <= 2").groupBy("company_id").agg(_last(1, "neg").alias("now"), _last(2, "neg").alias("before"))
+    j = new.join(last, "company_id", "left").withColumn("rising", F.coalesce(F.col("now") > F.col("before"), F.lit(False)))
+    return j.select("company_id", "phrases", "rising", F.when(F.col("rising"), 0.7).otherwise(0.4).alias("score"))
+
+
 def explosion(events: DataFrame) -> DataFrame:
     """Companies whose latest day has twice the mean count of the days before: (company_id, latest, baseline, score).
 

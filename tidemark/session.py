@@ -45,12 +45,15 @@ def reachable(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (local tests)
-    does the session get a temporary folder of its own.
+    Read from ``spark.checkpoint.dir``; only where that is unset and the master
+    is local (tests) does the session get a temporary folder of its own. On a
+    cluster a missing folder is an error: executors share no local one.
     """
     held = spark.sparkContext.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and held is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tidemark-")
     if held is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -64,9 +67,23 @@ def scratch(spark: SparkSession, what: str) -> str:
     fs = held.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(held)
     fs.deleteOnExit(held)
+    _written.append(path)
     return path
 
 
+#: Folders that the queries of this driver have written so far.
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Drop the intermediate tables written so far, once no result that reads them is needed any more; tells how many."""
+    n = 0
+    while _written:
+        held = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True))
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -59,10 +59,9 @@ def unseen(incoming: DataFrame, stored: DataFrame | None, key: str = "accession"
 def ingest(incoming: DataFrame, path: str, key: str = "accession") -> int:
     """Append the unseen rows to a Parquet table and tell how many there were; a second call adds none."""
     spark = incoming.sparkSession
-    try:
-        held = spark.read.parquet(path)
-    except Exception:  # no table yet
-        held = None
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # only a path that is not there means that there is no table yet; any other fault is raised
+    held = spark.read.parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
     new = unseen(incoming, held, key).cache()
     n = new.count()
     if n:
