@@ -236,14 +236,49 @@ def test_communities_end_where_no_node_would_change(spark):
 
 
 def test_plain_text_and_sections():
-    html = "<html><head><style>x{}</style></head><body><p>One&nbsp;  two</p><script>bad()</script><b>three</b></body></html>"
-    assert D.plain_text(html) == "One two\nthree"
+    html = "<html><head><style>p {}</style></head><body><script>x()</script><p>One &amp;  two</p><b>three</b></body></html>"
+    assert D.plain_text(html) == "One & two\nthree"
     assert D.plain_text(None) is None
-    body = "the company depends on many suppliers across several regions of the world and may be harmed. " * 4
+    body = "The company faces many risks in each of its markets and cannot say which of them will matter most. " * 10
     text = f"Item 1A. Risk Factors\n{body}\nItem 7. Management's Discussion\n{body}"
-    assert [k for k, _ in D.sections_of(text)] == ["mdna", "risk_factors"]
-    assert D.sections_of("nothing here") == [("full_text", "nothing here")]
-    assert D.is_stub("See Item 7.") and not D.is_stub(body * 5)
+    assert [k for k, _ in D.sections_of(text, "10-K")] == ["mdna", "risk_factors"]
+    assert D.sections_of(text, "S-1") == [("full_text", text)]
+    assert D.sections_of("nothing here", "10-K") == [("full_text", "nothing here")]
+    assert D.is_stub("See Item 7.") and D.is_stub("Item 1B. None.") and not D.is_stub(body)
+
+
+def test_sections_by_form_contents_stubs_and_notes():
+    from tidemark.functions import filings as P
+
+    body = "We sell goods to many customers in many places and expect that to continue for years to come. " * 12
+    contents = "Table of Contents\nItem 1A. Risk Factors 12\nItem 7. MD&A 30\nItem 8. Statements 44\n"
+    text = f"{contents}{body}\nItem 1A. Risk Factors\n{body}\nItem 3. Legal Proceedings\nSee Note 15 to the statements.\nItem 8. Statements\n{body}\nNote 15 Legal matters\n{body}\nNote 16 Leases\nnone"
+    got = dict(P.sections_of(P.without_contents(text), "10-K"))
+    assert set(got) == {"risk_factors", "financial_statements", "legal_proceedings"} and got["legal_proceedings"].startswith("Note 15")
+    assert P.without_contents(text).startswith("We sell")
+    ten_q = f"Part II\nItem 1. Legal\n{body}\nItem 1A. Risk Factors\n{body}"
+    assert [k for k, _ in P.sections_of(ten_q, "10-Q")] == ["financial_statements", "risk_factors"]  # a heading inside another one cuts it short
+    eight = f"Item 2.02 Results of Operations\n{body}\nItem 9.01 Exhibits\n{body}"
+    assert [k for k, _ in P.sections_of(eight, "8-K")] == ["financial_exhibits", "results_of_operations"]
+    titled = f"Item 8. Financial Statements\nA short one with more than ten words in a single sentence so that it counts.\nRISK FACTORS\n{body}"
+    assert "risk_factors" in dict(P.sections_of(titled, "10-K"))  # by its title, as a section is short
+
+
+def test_inline_tags_and_preamble():
+    from tidemark.functions import filings as P
+
+    html = '<div><ix:nonNumeric name="us-gaap:RiskFactorsTextBlock"><p>Many  risks.</p><p>More.</p></ix:nonNumeric><ix:nonNumeric name="dei:Other">x</ix:nonNumeric></div>'
+    assert P.parse_filing(html, "10-K") == [("risk_factors", "Many risks.\nMore.")]
+    assert P.parse_filing("<p>only this</p>", "10-K") == [("full_text", "only this")] and P.parse_filing(None, None) == []
+    junk = "\n".join(f"http://x.org/{i}" for i in range(60))
+    assert P.without_preamble(junk + "\nThis line has more than six words.") == "This line has more than six words."
+    assert P.without_preamble("http://x.org\nText of one or two words") == "http://x.org\nText of one or two words"
+
+
+def test_stub_expression_equals_the_function(spark):
+    texts = ["None.", "Item 1B. Not applicable", "See Item 7 below.", "Too short.", "This one is a sentence of well over ten words, though short.", "x " * 250, "", "The exhibit is\nincorporated by reference."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.s for r in df.select(D.stub_col(F.col("t")).alias("s")).collect()] == [D.is_stub(t) for t in texts]
 
 
 def test_html_clean_reads_texts_with_entities_alone(spark, tmp_path):

@@ -1,4 +1,4 @@
-"""Whole-document functions that no built-in expresses: cleaning of markup, sections of a filing, text differences.
+"""Whole-document functions that no built-in expresses: markup, sections of a filing, text differences.
 
 They run as Arrow-batched functions; each works on one text at a time.
 """
@@ -7,101 +7,35 @@ from __future__ import annotations
 
 import difflib
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DROPPED = {"script", "style", "meta", "link", "head"}
-# Headings of the sections of annual and quarterly reports.
-HEADINGS = {
-    "business": r"item\s+1\.?\s+business",
-    "risk_factors": r"item\s+1a\.?\s+risk\s+factors",
-    "properties": r"item\s+2\.?\s+properties",
-    "legal_proceedings": r"item\s+3\.?\s+legal\s+proceedings",
-    "mdna": r"item\s+7\.?\s+management'?s\s+discussion",
-    "market_risk": r"item\s+7a\.?\s+quantitative",
-    "financial_statements": r"item\s+8\.?\s+financial\s+statements",
-    "liquidity": r"liquidity\s+and\s+capital\s+resources",
-    "leases": r"note\s+4\.?\s+leases",
-}
-_HEADING = re.compile(r"^[ \t]*(?:" + "|".join(f"(?P<{k}>{v})" for k, v in HEADINGS.items()) + r")\b", re.IGNORECASE | re.MULTILINE)
-_TOC_LINE = re.compile(r"^\s*(?:item\s+\d+[a-z]?\.?|part\s+[ivx]+|signatures|exhibits?).{0,80}?\.{0,60}\s*\d{1,3}\s*$", re.IGNORECASE)
-_STUB = re.compile(r"incorporated (?:herein )?by reference|see (?:note|item|part)\s+\w+|refer to (?:note|item)", re.IGNORECASE)
-
-
-class _Text(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.skip = 0
-
-    def handle_starttag(self, tag: str, attrs) -> None:
-        if tag in _DROPPED and tag not in ("meta", "link"):
-            self.skip += 1
-        self.parts.append("\n")
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in _DROPPED and self.skip:
-            self.skip -= 1
-        self.parts.append("\n")
-
-    def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.parts.append(data)
-
-
-def plain_text(html: str | None) -> str | None:
-    """Text without tags, scripts and styles; runs of blanks as one, lines trimmed, empty lines left out. Null stays null."""
-    if html is None:
-        return None
-    parser = _Text()
-    parser.feed(html)
-    parser.close()
-    lines = (re.sub(r"[ \t\xa0]+", " ", line).strip() for line in "".join(parser.parts).splitlines())
-    return "\n".join(line for line in lines if line)
-
-
-def without_contents(text: str) -> str:
-    """Without the lines of a table of contents, if there are three or more in a row of nearby lines."""
-    lines = text.split("\n")
-    hit = [bool(_TOC_LINE.match(x)) for x in lines]
-    if sum(hit) < 3:
-        return text
-    return "\n".join(x for x, h in zip(lines, hit) if not h)
-
-
-def is_stub(text: str) -> bool:
-    """A short text that only points elsewhere."""
-    words = text.split()
-    if len(words) >= 200:
-        return False
-    bare = text.strip().lower().rstrip(".")
-    if bare in ("none", "n/a", "not applicable", "") or _STUB.search(text):
-        return True
-    return len(words) < 20 and not any(len(s.split()) >= 10 for s in re.split(r"[.!?]\s", text))
-
-
-def sections_of(text: str | None) -> list[tuple[str, str]]:
-    """(section, body) of a filing's text: from each heading to the next, the longest body of each section; else the full text."""
-    if not text:
-        return []
-    text = without_contents(text)
-    found: dict[str, str] = {}
-    marks = [(m.start(), m.end(), m.lastgroup) for m in _HEADING.finditer(text)]
-    for (_, body, name), nxt in zip(marks, [*(m[0] for m in marks[1:]), len(text)]):
-        piece = text[body:nxt].strip()
-        if len(piece) >= len(found.get(name, "")) and not is_stub(piece):
-            found[name] = piece
-    return sorted(found.items()) or [("full_text", text)]
+from tidemark.functions.filings import LEADING_ITEM, NOTHING, POINTER, is_stub, parse_filing, plain_text, sections_of, without_contents
+from tidemark.functions.lexicons import ABBREVIATIONS
+
+__all__ = ["is_stub", "parse_filing", "plain_text", "sections_of", "without_contents"]
+
+#: Ends of sentences with abbreviations and initials kept whole, as the column expression has it.
+_END = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
+_KEPT = re.compile(r"(?:\b(?:" + "|".join(ABBREVIATIONS) + r")\.|[A-Z]\.[A-Z]\.)$")
+
+
+def sentences_of(text: str | None) -> list[str]:
+    """Sentences that no abbreviation or initials break."""
+    out: list[str] = []
+    for piece in _END.split(text or ""):
+        if out and _KEPT.search(out[-1]):
+            out[-1] += " " + piece
+        else:
+            out.append(piece)
+    return [s.strip() for s in out if s.strip()]
 
 
 def diff_stats(before: str | None, after: str | None) -> tuple[int, int, int, float]:
     """Added, removed and changed lines (sentences, once split) and the similarity ratio of two texts."""
-    from re import split
-
-    a, b = ([s for s in split(r"(?<=[.!?])\s+", t or "") if s.strip()] for t in (before, after))
+    a, b = sentences_of(before), sentences_of(after)
     m = difflib.SequenceMatcher(None, a, b)
     added = removed = changed = 0
     for op, i1, i2, j1, j2 in m.get_opcodes():
@@ -116,7 +50,7 @@ def diff_stats(before: str | None, after: str | None) -> tuple[int, int, int, fl
 
 def unified(before: str | None, after: str | None, context: int = 3) -> str:
     """A unified difference by sentences."""
-    a, b = ([s for s in re.split(r"(?<=[.!?])\s+", t or "") if s.strip()] for t in (before, after))
+    a, b = sentences_of(before), sentences_of(after)
     return "\n".join(difflib.unified_diff(a, b, "previous", "current", n=context, lineterm=""))
 
 
@@ -128,12 +62,33 @@ def plain_text_col(c: Column) -> Column:
     return run(c)
 
 
-def sections_col(c: Column) -> Column:
+def sections_col(text: Column, form: Column) -> Column:
+    """Sections of cleaned text by its form."""
+
     @F.pandas_udf("array<struct<section:string,body:string>>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"section": k, "body": v} for k, v in sections_of(t)])
+    def run(s: pd.Series, f: pd.Series) -> pd.Series:
+        return pd.Series([[{"section": k, "body": v} for k, v in sections_of(t, x)] for t, x in zip(s, f)])
 
-    return run(c)
+    return run(text, form)
+
+
+def filing_col(html: Column, form: Column) -> Column:
+    """Sections of a whole document by its form: inline tags first, else headings."""
+
+    @F.pandas_udf("array<struct<section:string,body:string>>")
+    def run(s: pd.Series, f: pd.Series) -> pd.Series:
+        return pd.Series([[{"section": k, "body": v} for k, v in parse_filing(t, x)] for t, x in zip(s, f)])
+
+    return run(html, form)
+
+
+def stub_col(text: Column) -> Column:
+    """Whether a section's text only points elsewhere, without leaving the JVM."""
+    words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    body = F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), "(?i)" + LEADING_ITEM, ""))
+    bare = F.regexp_replace(F.lower(body), r"\.+$", "")
+    whole = F.exists(F.split(body, "[.!?]"), lambda s: words(s) >= 10)
+    return (words(text) < 200) & (bare.isin(*NOTHING) | F.rlike(text, F.lit("(?is)" + POINTER.replace(".*?", "[^\\n]*?"))) | ((words(body) < 20) & ~whole))
 
 
 def diff_col(before: Column, after: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import documents, relational, sentences, series, spikes, streams, texts, vectors
+from tidemark.plans import documents, pipeline, relational, sentences, series, spikes, streams, texts, vectors
 
-_MODULES = (spikes, texts, relational, series, sentences, vectors, documents, streams)
+_MODULES = (spikes, texts, relational, series, sentences, vectors, documents, streams, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
