@@ -82,3 +82,15 @@ def test_table_of_records(spark):
     got = sorted((str(r.record_kind), str(r.record_id), r.start_pos, r.end_pos) for r in sentence_units(df, "k", "i", "t").collect())
     assert got == [("s", "1", 0, 4), ("s", "1", 0, 4), ("s", "1", 5, 9), ("s", "1", 5, 9), ("t", "None", 0, 6)]
     assert sentence_units(df.limit(0), "k", "i", "t").count() == 0
+
+
+def test_long_blocks_take_linear_time():
+    import time
+
+    took = []
+    for n in (500, 4000):
+        text = 'He said "yes ... I know" and left. We saw it (in May. of 2020) there… And so on. ' * n
+        began = time.process_time()
+        assert len(unit_spans(text)) >= n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.2

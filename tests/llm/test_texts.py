@@ -52,6 +52,25 @@ def test_edits_move_neighbouring_cuts_only():
     assert len(before & after) > 0.5 * len(before)
 
 
+def test_forced_means_a_unit_that_no_piece_holds():
+    long, fits = "word " * 500 + "end.", "Word " + "word " * 388 + "end."
+    assert K.pieces(f"A sentence. {long} Another sentence.")[0] == "forced"
+    kind, made = K.pieces(" ".join([fits] * 4))
+    assert kind == "natural" and not all(at for _, _, at in made)  # the overlap leaves too little room, and the piece says so
+
+
+def test_frequent_lengths_are_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(P, "NUMBERED", 7)
+    df = spark.createDataFrame([(i, "a few words here" if i % 3 else "others " * (i % 5)) for i in range(90)], "i bigint, t string")
+    rows = P.packed(df, "i", "t", (8, 16)).collect()
+    held: dict[int, int] = {}
+    for r in rows:
+        if r.token_end > r.token_start:
+            held[r.container_id] = held.get(r.container_id, 0) + r.token_end - r.token_start
+    size = {r.container_id: r.container_size for r in rows}
+    assert len(rows) >= 90 and all(n <= size[c] for c, n in held.items())
+
+
 def test_pieces_table(spark):
     df = spark.createDataFrame([(1, TEXT, 1), (2, None, 1), (3, "short", 1), (None, TEXT, 1)], "i bigint, t string, piece_no int")
     rows = K.text_pieces(df, "i", "t").collect()
@@ -70,6 +89,9 @@ def test_fillings_hold_everything():
                 held[n] = held.get(n, 0) + c * times
         assert held == counts
     total = sum(n * c for n, c in counts.items())
+    allotted = lambda sizes, plan: sum(t * s for _, t, s in plan)
+    joint = allotted(None, P.joint_plan(counts, (512, 1024, 2048)))
+    assert joint <= allotted(None, P.plan_fillings(counts, (512, 1024, 2048))) and joint <= allotted(None, P.plan_fillings(counts, (2048,)))
     assert sum(t for _, t, _ in P.plan_fillings(counts, (2048,))) * 2048 < 1.03 * total
 
 
@@ -127,10 +149,25 @@ def test_leaks_equal_brute_force(spark):
             if hit:
                 want.add((d, i))
     out = E.leaked_items(spark.createDataFrame(docs, "d bigint, t string, item_id int"), "d", "t", spark.createDataFrame(items, "i bigint, t string"), "i", "t")
-    got = {(r.doc_id, r.item_id) for r in out.where("shared_windows > 0").collect()}
+    got = {(r.doc_id, r.item_id) for r in out.where("passage and shared_windows > 0").collect()}
     assert want and got == want
 
 
+def test_short_items_are_found_as_a_whole(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = [(1, f"before {item.title()}, and after"), (2, item.replace("six", "sixty")), (3, "one two three four five")]
+    out = E.leaked_items(spark.createDataFrame(docs, "d bigint, t string"), "d", "t", spark.createDataFrame([(7, item), (8, "too short"), (9, "日本語の短い文章です今日も")], "i bigint, t string"), "i", "t")
+    assert [(r.doc_id, r.item_id, r.shared_windows, r.item_share, r.passage) for r in out.collect()] == [(1, 7, 1, 1.0, False)]
+
+
+def test_near_copies_of_items_are_reported(spark):
+    words = [f"word{i}" for i in range(60)]
+    near = words[:20] + ["other"] + words[21:40] + ["another"] + words[41:]
+    out = E.leaked_items(spark.createDataFrame([(1, " ".join(near))], "d bigint, t string"), "d", "t", spark.createDataFrame([(7, " ".join(words))], "i bigint, t string"), "i", "t")
+    r = out.first()
+    assert r.passage and r.shared_windows == 5 + 4 + 4 and 0.8 < r.item_share < 1  # 20, 19 and 19 words stand as they were
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(E, "BLOCK_CHARS", 200)
     words = " ".join(f"w{i}" for i in range(40))
@@ -142,9 +179,9 @@ def test_leaks_in_blocks(spark, monkeypatch):
 
 def test_simhash_windows_in_radius_are_all_found():
     form = " ".join(f"word{i}" for i in range(30))
-    index = E._Index([(1, form)], False)
+    index = E._Index([(1, form)], False, E.WORDS)
     near = form.replace("word3 ", "changed ")
-    assert any(item == 1 and shared > 0 for item, shared, _ in index.look_up(near))
+    assert any(item == 1 and shared > 0 for item, shared, _ in index.look_up(E._features(near, False)))
 
 
 @pytest.mark.parametrize("label,code", [("en", "en"), ("EN-us", "en"), ("English", "en"), (" de_AT ", "de"), ("zh-Hans", "zh"), ("jpn", "ja"), (None, ""), ("und", ""), (" Unknown", ""), ("xx", None), ("klingon", None)])

@@ -29,13 +29,15 @@ _EVERY = 512
 def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> tuple[str, list[tuple[int, int, bool]]]:
     """('natural' or 'forced', pieces as (start, end, ends at a boundary)).
 
-    A text within the limit is one piece. Consecutive pieces overlap by exactly
+    Forced means that a piece had to end inside a unit that no piece could hold;
+    one that ends inside a unit for the sake of the overlap says so itself. A
+    text within the limit is one piece. Consecutive pieces overlap by exactly
     ``overlap`` characters, so that the text is the first piece followed by each
     later piece without its first ``overlap`` characters.
     """
     n = len(text)
     spans = unit_spans(text)
-    kind = "forced" if any(e - s > limit for s, e in spans) else "natural"
+    kind = "natural"
     if n <= limit:
         return kind, [(0, n, True)]
     natural = [e for _, e in spans]
@@ -66,6 +68,9 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = L
                     end -= 1
                 end = end if end > low else high
                 out.append((start, end, False))
+                unit = bisect_left(natural, end)
+                if unit < len(spans) and spans[unit][0] < end and spans[unit][1] - spans[unit][0] > limit:
+                    kind = "forced"
         fresh, start = end, end - overlap
     out.append((start, n, True))
     return kind, out

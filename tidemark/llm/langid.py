@@ -7,9 +7,10 @@ one document are read together: the cheapest sequence of languages pays its
 distances and a price for each change, so a foreign name or a short heading
 starts no stretch of its own.
 
-Profiles are fitted on a bounded sample of labelled rows (``SAMPLE`` rows on
-average, taken by the hash of their id); rows that the first profiles put into
-another language than their label are left out of the second fit.
+Profiles are fitted on a bounded sample of labelled rows (``SAMPLE`` rows of
+each language on average, taken by the hash of their id; all of a language that
+has fewer); rows that the first profiles put into another language than their
+label are left out of the second fit.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import hashing
 from tidemark.llm.segment import unit_spans
 
-#: Labelled rows that the profiles are fitted on, on average.
-SAMPLE = 3000
+#: Labelled rows of each language that the profiles are fitted on, on average.
+SAMPLE = 500
 PROFILE = 1200
 GRAMS = (1, 2, 3)
 #: Price of a change of language, in n-grams that are wholly out of place.
@@ -219,8 +220,17 @@ def stretches(docs: DataFrame, key: str, text: str, label: str) -> DataFrame:
     """
     spark = docs.sparkSession
     given = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"), F.col(label).alias("label")).where("t is not null")
-    share = max(1, docs.count() // SAMPLE)
-    sample = given.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).where("label is not null").select("label", "t").collect()
+    named = F.lower(F.trim("label"))
+    name = F.when(named.isin(*_NAMES), named).otherwise(F.split(named, "[-_ ]")[0])
+    known = given.withColumn("name", name).where(F.col("name").isin(*_NAMES))
+    rows: dict[str, int] = {}
+    for r in known.groupBy("name").count().collect():  # one row for each usual name of a language
+        rows[_NAMES[r.name]] = rows.get(_NAMES[r.name], 0) + r["count"]
+    share = {n: min(1.0, SAMPLE / rows[c]) for n, c in _NAMES.items() if c in rows}
+    sample = []
+    if share:
+        part = F.try_element_at(F.create_map(*[F.lit(x) for p in share.items() for x in p]), F.col("name"))
+        sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part * 1_000_000).select("label", "t").collect()
     labelled = [(c, r.t) for r in sample if (c := code_of(r.label))]
     schema = "id bigint, start_pos bigint, end_pos bigint, lang_code string, confidence double, label_code string, n_langs int"
     if not labelled:

@@ -1,7 +1,8 @@
 """Test items whose passages stand in corpus documents (problem 8).
 
 Every window of sixteen words (forty characters in Japanese and Chinese) of an
-item and of a document gets a 64-bit SimHash. Fingerprints are cut into four
+item and of a document gets a 64-bit SimHash; an item shorter than that gets
+one of its own size, and documents are read in windows of that size too. Fingerprints are cut into four
 blocks of sixteen bits: two fingerprints within a distance of three agree in
 one block at least, so a look-up of each block finds all of them. Candidates
 are then verified exactly, by the words of the window and by the weighted
@@ -82,9 +83,9 @@ def _simhash(feats: np.ndarray, size: int) -> np.ndarray:
 class _Index:
     """Fingerprints of all item windows of one kind, by block."""
 
-    def __init__(self, forms: list[tuple[int, str]], by_chars: bool):
+    def __init__(self, forms: list[tuple[int, str]], by_chars: bool, size: int):
         self.by_chars = by_chars
-        self.size = CHARS - 1 if by_chars else WORDS
+        self.size = size
         prints, exact, owner = [], [], []
         self.shingles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for item, form in forms:
@@ -114,11 +115,10 @@ class _Index:
             np.cumsum(np.bincount(part.astype(np.int64), minlength=65536), out=start[1:])
             self.blocks.append((order, start))
 
-    def look_up(self, form: str) -> list[tuple[int, int, float]]:
-        """(item, exactly shared windows, weighted share of the item's shingles) of every item in reach."""
+    def look_up(self, feats: np.ndarray) -> list[tuple[int, int, float]]:
+        """(item, exactly shared windows, weighted share of the item's shingles) of every item in reach of a document's features."""
         if not len(self.prints):
             return []
-        feats = _features(form, self.by_chars)
         fp = _simhash(feats, self.size)
         if not len(fp):
             return []
@@ -165,11 +165,39 @@ def _split(items: list[tuple[int, str]]) -> tuple[list[tuple[int, str]], list[tu
     return words, chars
 
 
+#: The fewest words, or pairs of characters, of an item that is looked for.
+LEAST = SHINGLE
+
+
+class Indexes:
+    """The fingerprints of all items: one index for whole passages, one for each size of shorter items."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.all: list[tuple[bool, _Index]] = []
+        for by_chars, forms in zip((False, True), _split(items)):
+            by: dict[int, list[tuple[int, str]]] = {}
+            full = CHARS - 1 if by_chars else WORDS
+            for item, form in forms:
+                size = min(full, len(_features(form, by_chars)))
+                if size >= LEAST:
+                    by.setdefault(size, []).append((item, form))
+            self.all += [(size == full, _Index(some, by_chars, size)) for size, some in sorted(by.items())]
+        self.chars = any(x.by_chars for _, x in self.all)
+
+    def look_up(self, text: str) -> list[tuple[int, int, float, bool]]:
+        """(item, exactly shared windows, weighted share of the item, whether a window is a whole passage)."""
+        form = matching_form(text)
+        feats = {False: _features(form, False), True: _features(form, True) if self.chars and _CJK.search(form) else np.zeros(0, np.uint64)}
+        return [(*hit, whole) for whole, index in self.all for hit in index.look_up(feats[index.by_chars])]
+
+
 def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, shared_windows, item_share) of every document an item leaked into.
+    """(doc_id, item_id, shared_windows, item_share, passage) of every document an item leaked into.
 
     A row stands for an exactly shared window (``shared_windows`` > 0) or for
     fingerprints in reach whose weighted shingle share is ``least`` or more.
+    ``passage`` tells that windows are whole passages of sixteen words (forty
+    characters); items shorter than that are found as a whole, from ``LEAST`` words on.
     Null and empty texts on either side match nothing; rows that stand twice
     are reported once; other columns are not read. The items are a fixed test
     set: their size is measured first, and beyond ``BLOCK_CHARS`` they are
@@ -188,24 +216,14 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
 
 
 def _one_pass(rows: DataFrame, held: list[tuple[int, str]], least: float) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(held)
+    shared = rows.sparkSession.sparkContext.broadcast(Indexes(held))  # built once
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, chars = _split(shared.value)
-        by_word, by_char = _Index(words, False), _Index(chars, True)
+        indexes = shared.value
         for batch in batches:
-            d, i, n, s = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                form = matching_form(text)
-                found = by_word.look_up(form)
-                if chars and _CJK.search(form):
-                    found += by_char.look_up(form)
-                for item, count, share in found:
-                    if count or share >= least:
-                        d.append(key)
-                        i.append(item)
-                        n.append(count)
-                        s.append(share)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.float64())], names=["doc_id", "item_id", "shared_windows", "item_share"])
-
-    return rows.mapInArrow(match, "doc_id bigint, item_id bigint, shared_windows bigint, item_share double")
+            out = [(key, item, count, share, whole) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for item, count, share, whole in indexes.look_up(text) if count or share >= least]
+            cols = list(zip(*out)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "shared_windows", "item_share", "passage"])
+
+    return rows.mapInArrow(match, "doc_id bigint, item_id bigint, shared_windows bigint, item_share double, passage boolean")

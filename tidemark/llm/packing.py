@@ -5,7 +5,9 @@ container has tokens, however many texts there are. Best fit: the longest
 length left opens a container of the permitted size that costs least for each
 token held, the longest lengths that still fit fill it, and the same filling
 is repeated as often as its lengths last. In the end each container shrinks to
-the smallest permitted size that holds its contents.
+the smallest permitted size that holds its contents. The permitted sizes are
+chosen jointly: every set of them that holds the longest length is planned, and
+the plan that allots least capacity in all is taken.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The split pattern of byte-level BPE vocabularies (a fixed value of the public format).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SALTS = 32
+#: Texts of one length that one task numbers; a more frequent length is salted.
+NUMBERED = 250_000
 
 
 def _encoder(vocabulary: str):
@@ -50,6 +53,20 @@ def token_counts(rows: DataFrame, key: str, text: str, vocabulary: str = VOCABUL
     return given.mapInArrow(count, "key bigint, n_tokens bigint")
 
 
+def joint_plan(counts: dict[int, int], sizes: tuple[int, ...]) -> list[tuple[dict[int, int], int, int]]:
+    """The fillings of the set of sizes that allots least capacity; containers shrink to any of the permitted sizes in the end."""
+    top = max(sizes)
+    smaller = sorted(set(sizes) - {top})
+    best = None
+    for k in range(1 << len(smaller)):
+        opened = (*(s for j, s in enumerate(smaller) if k >> j & 1), top)
+        plan = [(used, times, next(s for s in (*smaller, top) if s >= sum(n * c for n, c in used.items()))) for used, times, _ in plan_fillings(counts, opened)]
+        total = sum(times * size for _, times, size in plan)
+        if best is None or total < best[0]:
+            best = (total, plan)
+    return best[1]
+
+
 def plan_fillings(counts: dict[int, int], sizes: tuple[int, ...]) -> list[tuple[dict[int, int], int, int]]:
     """Fillings as ({length: how often in one container}, containers filled so, final size)."""
     sizes = tuple(sorted(sizes))
@@ -106,34 +123,38 @@ def packed(rows: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (CAPAC
         .withColumn("token_start", F.col("part_no").cast("bigint") * top)
         .withColumn("token_end", F.least("n_tokens", F.col("token_start") + top))
         .withColumn("n", (F.col("token_end") - F.col("token_start")).cast("int"))
-        .withColumn("salt", F.pmod(F.xxhash64("key", "part_no"), F.lit(_SALTS)).cast("int"))
     )
-    # at most (largest size + 1) x salts rows, whatever the number of texts
-    histogram = parts.groupBy("n", "salt").count().collect()
-    counts: dict[int, int] = {}
-    offset: dict[tuple[int, int], int] = {}
-    for r in sorted(histogram, key=lambda r: (r.n, r.salt)):
-        offset[r.n, r.salt] = counts.get(r.n, 0)
-        counts[r.n] = counts.get(r.n, 0) + r["count"]
+    # at most as many rows as a container has tokens
+    frequent = {r.n: r["count"] for r in parts.groupBy("n").count().collect()}
+    salts = {n: -(-c // NUMBERED) for n, c in frequent.items() if c > NUMBERED}
+    many = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in salts.items() for x in p]), F.col("n")), F.lit(1)) if salts else F.lit(1)
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64("key", "part_no"), many).cast("int"))
+    base_of = np.zeros(top + 2, np.int64)
+    base_of[1:] = np.cumsum([salts.get(n, 1) for n in range(top + 1)])
+    starts = np.zeros(int(base_of[-1]), np.int64)
+    counts: dict[int, int] = dict(frequent)
+    if salts:
+        sized = parts.where(F.col("n").isin(*salts)).groupBy("n", "salt").count().collect()  # one row for each NUMBERED texts
+        at: dict[int, int] = {}
+        for r in sorted(sized, key=lambda r: (r.n, r.salt)):
+            starts[base_of[r.n] + r.salt] = at.get(r.n, 0)
+            at[r.n] = at.get(r.n, 0) + r["count"]
     slots: list[tuple[int, int, int, int, int]] = []
     taken: dict[int, int] = {}
     base = 0
-    for used, times, size in plan_fillings(counts, sizes):
+    for used, times, size in joint_plan(counts, sizes):
         for n, c in used.items():
             slots.append((n, taken.get(n, 0), base, c, size))
             taken[n] = taken.get(n, 0) + c * times
         base += times
     slots.sort()
     table = np.array(slots or [(0, 0, 0, 1, min(sizes))], np.int64).reshape(-1, 5)
-    starts = np.zeros((top + 1, _SALTS), np.int64)
-    for (n, salt), o in offset.items():
-        starts[n, salt] = o
-    shared = rows.sparkSession.sparkContext.broadcast((table, starts))
+    shared = rows.sparkSession.sparkContext.broadcast((table, starts, base_of))
 
     @F.pandas_udf("container_id bigint, container_size int")
     def place(n: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        table, starts = shared.value
-        n_, o = n.to_numpy(np.int64), starts[n.to_numpy(), salt.to_numpy()] + rank.to_numpy(np.int64) - 1
+        table, starts, base_of = shared.value
+        n_, o = n.to_numpy(np.int64), starts[base_of[n.to_numpy()] + salt.to_numpy()] + rank.to_numpy(np.int64) - 1
         first, last = np.searchsorted(table[:, 0], n_, "left"), np.searchsorted(table[:, 0], n_, "right")
         at = first.copy()
         for length in np.unique(n_):

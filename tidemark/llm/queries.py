@@ -93,7 +93,7 @@ def _leaks(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
-    return _leaks(spark, base).where("shared_windows > 0").select("doc_id", "item_id")
+    return _leaks(spark, base).where("passage and shared_windows > 0").select("doc_id", "item_id")
 
 
 def p8_report(spark: SparkSession, base: str) -> DataFrame:

@@ -3,8 +3,11 @@
 A text falls into blocks at blank lines. Inside a block every end mark is a
 candidate boundary, and a semi-Markov dynamic programme picks the spans between
 candidates whose joint score is largest. A span's score adds what its closing
-words say, what the opening words of the next span say, whether its quotation
-marks and brackets are balanced, and how plausible its length is.
+words say about an end there, in the light of the words that open the next
+span, whether quotation marks and brackets are left open in it, and how
+plausible its length is. Boundaries that are in no or in every best cut,
+whatever the lengths, are settled beforehand, and spans beyond the longest
+plausible length score alike, so the work is linear in the text.
 
 Scripts without end marks (Thai, Lao) have a candidate at each blank between
 two of their letters.
@@ -13,6 +16,7 @@ two of their letters.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,6 +68,7 @@ _HEADING_WORDS = frozenset("item items note notes part section table exhibit sch
 _BEFORE_ORDINAL = frozenset("am zum vom dem den der des bis im ab seit".split())
 
 _SURE = 3.5  # beyond this no length score can turn a decision
+_OPEN = -7.0  # a quotation or bracket left open at the end of a span
 _LONG = 600
 _HEADING = 80
 _FINAL = re.compile(r"[.!?…。！？｡؟۔।॥][\s\"“”»’」』）)\]】〉》]*$")
@@ -76,42 +81,54 @@ def _inside(block: str) -> tuple[list[tuple[int, int]], set[int]]:
     low_quote = "„" in block
     n = len(block)
 
+    waiting: dict[str, int] = {}
+
+    def push(what: str, at: int) -> None:
+        stack.append((what, at))
+        waiting[what] = waiting.get(what, 0) + 1
+
     def close(what: str, at: int) -> bool:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == what:
-                pairs.append((stack[k][1], at))
-                del stack[k:]
+        if not waiting.get(what):
+            return False
+        while True:  # what was opened inside and never closed is dropped
+            ch, start = stack.pop()
+            waiting[ch] -= 1
+            if ch == what:
+                pairs.append((start, at))
                 return True
-        return False
 
     for m in _QUOTES.finditer(block):
         ch, at = m.group(), m.start()
         if ch in _PAIRS or ch == "„":
-            stack.append((ch, at))
+            push(ch, at)
         elif ch in _CLOSES:
             close(_CLOSES[ch], at)
         elif ch == "“":
             if not (low_quote and close("„", at)):
-                stack.append(("“", at))
+                push("“", at)
         elif ch == "”":
             close("“", at) or close("„", at)
         elif ch == "‘":
             if not (at and block[at - 1].isalnum()):
-                stack.append(("‘", at))
+                push("‘", at)
         elif ch == "’":
             if not (at + 1 < n and block[at + 1].isalpha() and at and block[at - 1].isalpha()):
                 close("‘", at)
         else:
             blank_before = at == 0 or block[at - 1].isspace() or block[at - 1] in "([（「"
             blank_after = at + 1 == n or block[at + 1].isspace() or block[at + 1] in ".,;:!?)]）"
-            if blank_before and not blank_after or not blank_after and not any(q == '"' for q, _ in stack):
-                stack.append(('"', at))
+            if blank_before and not blank_after or not blank_after and not waiting.get('"'):
+                push('"', at)
             else:
                 close('"', at)
     return pairs, {e for _, e in pairs}
 
 
-def _weight(block: str, mark_at: int, mark_end: int, end: int, nxt: int) -> float:
+def _shouting(block: str) -> bool:
+    return sum(map(str.isupper, block)) > 0.6 * sum(map(str.isalpha, block))
+
+
+def _weight(block: str, mark_at: int, mark_end: int, end: int, nxt: int, shouting: bool) -> float:
     """How much closing and opening words speak for a boundary at ``end``."""
     n = len(block)
     mark = block[mark_end - 1]
@@ -140,7 +157,6 @@ def _weight(block: str, mark_at: int, mark_end: int, end: int, nxt: int) -> floa
             return -5.0
         return 5.0 if gap or head.isupper() else -3.0
     if mark == "…" or mark_end - mark_at > 1:
-        shouting = sum(map(str.isupper, block)) > 0.6 * sum(map(str.isalpha, block))
         if head.isupper() and (shouting or not (at + 1 < n and block[at + 1].isupper())):
             return -1.0 if shouting else 4.0
         return -5.0
@@ -217,6 +233,21 @@ def _length_score(size: int) -> float:
     return 0.0 if size <= _LONG else -0.5
 
 
+def _span_score(size: int, closing: float, left_open: bool) -> float:
+    """Score of a span of ``size`` characters: its length, its closing words, and quotations or brackets left open at its end."""
+    return _length_score(size) + closing + (_OPEN if left_open else 0.0)
+
+
+class _Nesting:
+    """How many quotations and brackets are open at a place."""
+
+    def __init__(self, pairs: list[tuple[int, int]]):
+        self.starts, self.ends = sorted(s for s, _ in pairs), sorted(e for _, e in pairs)
+
+    def __call__(self, at: int) -> int:
+        return bisect_left(self.starts, at) - bisect_right(self.ends, at)
+
+
 def _cut_block(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
     """Append the units of the block ``text[lo:hi]``, which has no blanks at its ends."""
     block = text[lo:hi]
@@ -224,17 +255,19 @@ def _cut_block(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
     if block.count("|") >= 2 or n <= _HEADING and "\n" not in block and _FINAL.search(block) is None and not _HAS_SPACELESS.search(block):
         out.append((lo, hi))  # a table or a heading
         return
-    cands: list[tuple[int, int, float]] = []
-    pairs: list[tuple[int, int]] | None = None
+    cands: list[tuple[int, int, float, bool]] = []
+    inner: _Nesting | None = None
     closing: set[int] = set()
+    shouting: bool | None = None
     for m in _MARKS.finditer(block):
         a, b = m.span()
         if b >= n:
             break
         if b - a == 1 and block[a] == "." and block[b].isdigit():
             continue
-        if pairs is None:
+        if inner is None:
             pairs, closing = _inside(block) if _QUOTES.search(block) else ([], set())
+            inner = _Nesting(pairs)
         end = b
         while end < n:
             if end in closing:
@@ -250,43 +283,43 @@ def _cut_block(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
             break
         if block[nxt] in ".!?…。！？" and nxt == end:
             continue  # the outer mark decides
-        w = _weight(block, a, b, end, nxt)
-        if w > -6 and pairs and any(s < end - 1 and end - 1 < e for s, e in pairs):
-            w -= 7.0  # unbalanced on both sides
-        if w > -_SURE:
-            cands.append((end, nxt, w))
+        if shouting is None and (b - a > 1 or block[b - 1] == "…"):
+            shouting = _shouting(block)
+        w = _weight(block, a, b, end, nxt, bool(shouting))
+        left_open = inner(end - 1) > 0
+        if w + (_OPEN if left_open else 0.0) > -_SURE:
+            cands.append((end, nxt, w, left_open))
     if _HAS_SPACELESS.search(block):
-        inner = _inside(block)[0]
+        inner = inner or _Nesting(_inside(block)[0])
         for m in _SPACELESS.finditer(block):
-            if not any(s < m.start() < e for s, e in inner):
-                cands.append((m.start(), m.end(), 5.0))
+            if not inner(m.start()):
+                cands.append((m.start(), m.end(), 5.0, False))
         cands.sort()
     if not cands:
         out.append((lo, hi))
         return
-    if all(w > _SURE for _, _, w in cands):
-        start = 0
-        for end, nxt, _ in cands:
-            if end > start:
-                out.append((lo + start, lo + end))
-            start = nxt
-        out.append((lo + start, hi))
-        return
-    # semi-Markov: best[j] is the best score of the text before boundary j; a sure boundary is passed by every best path
-    ends = [*(e for e, _, _ in cands), n]
-    starts = [0, *(s for _, s, _ in cands)]
-    weights = [*(w for _, _, w in cands), 0.0]
+    ends = [*(c[0] for c in cands), n]
+    starts = [0, *(c[1] for c in cands)]
+    closes = [*((w, o) for _, _, w, o in cands), (0.0, False)]
+    # semi-Markov: best[j] is the best score of the text before boundary j; a sure boundary is passed by every best cut
     best, back, floor = [0.0], [0], 0
+    far, far_best, far_arg = 0, -1e18, 0  # boundaries from which a span to here is beyond the longest plausible length
     for j in range(len(ends)):
+        while far <= j and ends[j] - starts[far] > _LONG:
+            if far >= floor and best[far] > far_best:
+                far_best, far_arg = best[far], far
+            far += 1
         top, arg = -1e18, floor
-        for i in range(floor, j + 1):
-            score = best[i] + _length_score(ends[j] - starts[i])
+        if far_best > -1e18:
+            top, arg = far_best + _span_score(_LONG + 1, *closes[j]), far_arg
+        for i in range(max(floor, far), j + 1):
+            score = best[i] + _span_score(ends[j] - starts[i], *closes[j])
             if score > top:
                 top, arg = score, i
-        best.append(top + weights[j])
+        best.append(top)
         back.append(arg)
-        if weights[j] > _SURE:
-            floor = j + 1
+        if closes[j][0] + (_OPEN if closes[j][1] else 0.0) > _SURE:
+            floor, far, far_best = j + 1, j + 1, -1e18
     spans = []
     j = len(ends)
     while j > 0:
