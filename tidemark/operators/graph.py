@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.medians import medians
 from tidemark.session import cut, stored
 
 #: Centrality and spectrum need the whole graph in each task; larger ones are refused.
@@ -134,9 +135,36 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(parts, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
+def ego(edges: DataFrame, share: float = 0.9) -> DataFrame:
+    """(node, rank, neighbour, sim, is_hub): each node's neighbours in order of similarity, and whether the node has as many as the best tenth."""
+    e = both_ways(edges).withColumn("s", F.round("sim", 6))
+    degree = e.groupBy("u").agg(F.count("*").cast("double").alias("d"))
+    limit = medians(degree.withColumn("all", F.lit(1)), ["all"], "d", "limit", share).select("limit")
+    hub = degree.join(F.broadcast(limit), F.col("d") >= F.col("limit")).select("u", F.lit(True).alias("is_hub"))  # one row
+    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
+    return e.join(hub, "u", "left").select(F.col("u").alias("node"), rank.alias("rank"), F.col("v").alias("neighbour"), F.col("s").alias("sim"), F.coalesce("is_hub", F.lit(False)).alias("is_hub"))
+
+
+def mean_path_length(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, nodes, mean_hops) of the largest component (of equals that of the smallest node); null for a single node."""
+    c = components(nodes, edges)
+    top = c.groupBy("component").agg(F.count("*").alias("nodes")).orderBy(F.desc("nodes"), "component").limit(1)
+    inside = edges.join(c.join(F.broadcast(top), "component").select(F.col("node").alias("a")), "a", "left_semi")  # one row
+    hops = path_lengths(inside).agg((F.sum(F.col("hops") * F.col("pairs")) / F.sum("pairs")).alias("m"))
+    return top.join(F.broadcast(hops), F.lit(True), "left").select("component", "nodes", F.round("m", 6).alias("mean_hops"))
+
+
+def contagion_scores(paths: DataFrame, new: DataFrame) -> DataFrame:
+    """(company, phrases, matched, score, mean_lag, bridged, first_mover): the share of a company's new phrases that a peer had said before; a company without any is a first mover."""
+    total = new.groupBy("company").agg(F.count_distinct("phrase").alias("phrases"))
+    m = paths.groupBy("company").agg(F.count("*").alias("matched"), F.avg("lag").alias("mean_lag"), F.count_if(F.col("hops") == 2).alias("bridged"))
+    j = total.join(m, "company", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    return j.select("company", "phrases", "matched", F.round(F.col("matched") / F.col("phrases"), 6).alias("score"), F.round("mean_lag", 6).alias("mean_lag"), F.coalesce("bridged", F.lit(0)).alias("bridged"), (F.col("matched") == 0).alias("first_mover"))
+
+
 def hubs(central: DataFrame, share: float = 0.9) -> DataFrame:
-    limit = central.agg(F.percentile("betweenness", F.lit(share)).alias("limit"))
-    return central.crossJoin(limit).where("betweenness >= limit").select("node", F.round("betweenness", 9).alias("betweenness"))  # one row
+    limit = medians(central.withColumn("all", F.lit(1)), ["all"], "betweenness", "limit", share).select("limit")
+    return central.join(F.broadcast(limit), F.col("betweenness") >= F.col("limit")).select("node", F.round("betweenness", 9).alias("betweenness"))  # one row
 
 
 def _second_smallest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, basis: int = 100) -> float:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import clamp
 from tidemark.operators import series as S
+from tidemark.operators.medians import medians
 
 # Weights of the components and limits of the levels.
 WEIGHTS = {"anomaly": 0.25, "acceleration": 0.20, "sentiment": 0.15, "phrases": 0.15, "obfuscation_proxy": 0.10, "entropy_proxy": 0.10, "alerts": 0.05}
@@ -140,7 +141,8 @@ def backtest(drift: DataFrame, filings: DataFrame, share: float = 0.75) -> DataF
     from tidemark.operators.relational import json_number
 
     d = drift.select("filing_id", "company_id", "section", composite(F.col("cosine"), F.col("jaccard")).alias("drift"), json_number(F.col("sentiment_delta"), "negative").alias("neg"))
-    limits = d.groupBy("section").agg(F.percentile("drift", F.lit(share)).alias("limit")).unionAll(d.agg(F.lit("all").alias("section"), F.percentile("drift", F.lit(share)).alias("limit")))
+    both = d.select("section", "drift").unionAll(d.select(F.lit("all").alias("section"), "drift"))
+    limits = medians(both, ["section"], "drift", "limit", share).select("section", "limit")
     follows = filings.select("company_id", "filing_id", F.lead("filing_id").over(Window.partitionBy("company_id").orderBy("filing_date", "filing_id")).alias("next_id"))
     bad = d.groupBy("filing_id").agg(F.max(F.coalesce(F.col("neg") > 0.05, F.lit(False))).alias("bad")).withColumnRenamed("filing_id", "next_id")
     scored = d.join(follows.where("next_id is not null").select("filing_id", "next_id"), "filing_id").join(bad, "next_id", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))

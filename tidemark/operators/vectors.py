@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,14 +71,20 @@ def mean_pool(rows: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def trajectories(rows: DataFrame, group: str, order: str, vector: str) -> DataFrame:
-    """Length, speed, mean turning angle and net distance of each group's path, for paths of three points or more."""
+    """Length, speed, mean turning angle, net distance, slope of the last three speeds and first part of the direction of each group's path, for paths of three points or more.
+
+    The slope is 0 with fewer than three steps; the direction is the net way divided by its length.
+    """
     w = Window.partitionBy(group).orderBy(order)
-    steps = rows.withColumn("v_", F.col(vector).cast("array<double>")).withColumn("d_", minus(F.col("v_"), F.lag("v_").over(w))).withColumn("l_", norm(F.col("d_")))
+    steps = rows.withColumn("v_", F.col(vector).cast("array<double>")).withColumn("d_", minus(F.col("v_"), F.lag("v_").over(w))).withColumn("l_", norm(F.col("d_"))).withColumn("r_", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order))))
     turned = steps.withColumn("p_", F.lag("d_").over(w)).withColumn("pl_", F.lag("l_").over(w))
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("d_"), F.col("p_")) / (F.col("l_") * F.col("pl_")))))
     turned = turned.withColumn("angle", F.when((F.col("l_") > 1e-9) & (F.col("pl_") > 1e-9), angle))
-    g = turned.groupBy(group).agg(F.count("*").alias("points"), F.sum("l_").alias("length"), F.avg("angle").alias("turning"), F.min_by("v_", order).alias("first"), F.max_by("v_", order).alias("last")).where("points >= 3")
-    return g.select(group, "points", F.round("length", 6).alias("length"), F.round(F.col("length") / (F.col("points") - 1), 6).alias("speed"), F.round(F.coalesce("turning", F.lit(0.0)), 6).alias("turning"), F.round(norm(minus(F.col("last"), F.col("first"))), 6).alias("net"))
+    g = turned.groupBy(group).agg(F.count("*").alias("points"), F.sum("l_").alias("length"), F.avg("angle").alias("turning"), F.min_by("v_", order).alias("first"), F.max_by("v_", order).alias("last"), *[F.max(F.when(F.col("r_") == k, F.col("l_"))).alias(f"l{k}_") for k in (1, 3)]).where("points >= 3")
+    net = norm(minus(F.col("last"), F.col("first")))
+    slope = F.when(F.col("points") >= 4, (F.col("l1_") - F.col("l3_")) / 2).otherwise(0.0)
+    way = F.when(net > 1e-9, minus(F.col("last"), F.col("first"))[0] / net).otherwise(0.0)
+    return g.select(group, "points", F.round("length", 6).alias("length"), F.round(F.col("length") / (F.col("points") - 1), 6).alias("speed"), F.round(F.coalesce("turning", F.lit(0.0)), 6).alias("turning"), F.round(net, 6).alias("net"), F.round(slope, 6).alias("acceleration"), F.round(way, 6).alias("direction_0"))
 
 
 def as_ml(rows: DataFrame, vector: str, out: str = "features") -> DataFrame:
@@ -113,11 +122,61 @@ def danger_zones(points: DataFrame, distressed: Column, seed: int = 42) -> DataF
     return near.groupBy("zone", "centre").agg(F.avg("away").alias("radius"), F.count("*").alias("members"))
 
 
-def at_risk(points: DataFrame, key: str, zones: DataFrame) -> DataFrame:
-    """(key, zone, proximity) of points within two radii of a zone's centre."""
+def at_risk(points: DataFrame, key: str, zones: DataFrame, distressed: Column) -> DataFrame:
+    """(key, zone, proximity, log_density) of points within two radii of a zone's centre that lie as densely as the zone's own.
+
+    The density is that of Gaussians of width max(0.5 radius, 0.1) on the zone's
+    distressed points; a point must reach the 20th percentile of theirs.
+    """
     away = norm(minus(F.col("point"), F.col("centre")))
-    j = points.join(F.broadcast(zones), away < 2 * F.col("radius"))  # five zones at most
-    return j.select(key, "zone", F.round(1 - away / (2 * F.col("radius")), 6).alias("proximity"))
+    near = points.join(F.broadcast(zones), away < 2 * F.col("radius")).withColumn("away", away)  # five zones at most
+    closest = Window.partitionBy(key).orderBy(away)
+    home = points.where(distressed).join(F.broadcast(zones), F.lit(True)).withColumn("r_", F.row_number().over(closest)).where("r_ = 1").select("zone", F.col(key).alias("member"), F.col("point").alias("at"), "radius")  # each in its nearest zone
+    wide = F.greatest(0.5 * F.col("radius"), F.lit(0.1))
+    size = home.groupBy("zone").agg(F.count("*").alias("k"))
+
+    def density(rows: DataFrame) -> DataFrame:
+        """Logarithm of the mean kernel, summed up around its largest part."""
+        e = rows.select("zone", key, "point").join(home, "zone").withColumn("e", -(dot(minus(F.col("point"), F.col("at")), minus(F.col("point"), F.col("at")))) / (2 * wide * wide)).withColumn("w", wide)
+        top = e.groupBy("zone", key).agg(F.max("e").alias("top"))
+        s = e.join(top, ["zone", key]).groupBy("zone", key).agg(F.sum(F.exp(F.col("e") - F.col("top"))).alias("s"), F.first("top").alias("top"), F.first("w").alias("w"), F.first(F.size("at")).alias("d")).join(F.broadcast(size), "zone")
+        return s.select("zone", key, (F.col("top") + F.log("s") - F.log("k") - F.col("d") * F.log(F.col("w") * (2 * math.pi) ** 0.5)).alias("log_density"))
+
+    own = density(home.select("zone", F.col("member").alias(key), F.col("at").alias("point")))
+    limit = own.groupBy("zone").agg(F.percentile("log_density", F.lit(0.2)).alias("least"))
+    j = near.join(density(near), ["zone", key]).join(F.broadcast(limit), "zone").where("log_density >= least")  # five rows at most
+    return j.select(key, "zone", F.round(1 - F.col("away") / (2 * F.col("radius")), 6).alias("proximity"), F.round("log_density", 6).alias("log_density"))
+
+
+#: Reference points that projection by neighbours may hold in each task.
+MOST_POINTS = 200_000
+
+
+def by_neighbours(rows: DataFrame, key: str, vector: str, known: DataFrame, k: int = 5) -> DataFrame:
+    """(key, point): the mean of the points of the ``k`` nearest known vectors, weighted by inverse distance.
+
+    ``known`` has (id, vector, point); it is a fitted space of bounded size, which is checked.
+    """
+    held = known.limit(MOST_POINTS + 1).collect()
+    if len(held) > MOST_POINTS:
+        raise ValueError(f"more than {MOST_POINTS} known points")
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([r["vector"] for r in held], float), np.array([r["point"] for r in held], float)))
+
+    @F.pandas_udf("array<double>")
+    def run(vs: pd.Series) -> pd.Series:
+        x, p = shared.value
+        out = []
+        for v in vs:
+            if v is None or not len(x):
+                out.append(None)
+                continue
+            d = np.sqrt(((x - np.asarray(v, float)) ** 2).sum(1))
+            at = np.argsort(d, kind="stable")[:k]
+            w = 1 / (d[at] + 1e-9)
+            out.append((p[at] * (w / w.sum())[:, None]).sum(0))
+        return pd.Series(out)
+
+    return rows.select(key, run(F.col(vector).cast("array<double>")).alias("point"))
 
 
 def classifier(train: DataFrame, features: str, label: str, hidden: int, classes: int, seed: int = 42):

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.lexicons import CATEGORIES, NEGATIONS, SAMPLE_SENTIMENT, SAMPLE_TIERS, SCOPE_BREAKERS
+from tidemark.operators import models as M
 from tidemark.operators import sentences as N
 from tidemark.plans.views import P_SQL, S_SQL, clean_sections, section_pairs, sent_sql, strip_sql, tok_sql, values_sql, words_sql
+from tidemark.session import stored
 from tidemark.sources.tables import table
 
 
@@ -181,11 +183,36 @@ def rolling_sentences(spark: SparkSession, base: str) -> DataFrame:
     return r.select("id", F.md5("sentence_text").alias("sentence_hash"))
 
 
+def risk_classifier(spark: SparkSession, base: str) -> DataFrame:
+    """Held-out levels of changed sentences by a perceptron 384 -> 128 -> 4 on their words, trained on the labels that their terms give."""
+    c = table(spark, base, "sentence_changes", "id", "sentence_text")
+    rows = stored(M.stratified(M.encoded(c, "id", "sentence_text").join(risk_labels(spark, base), "id"), "id", "label"))
+    model = M.trained(rows.where("not held_out"), 4)
+    got = M.classified_risk(model, rows.where("held_out"), "id").join(rows.select("id", "risk_level"), "id")
+    return got.groupBy("risk_level").agg(F.count("*").alias("n"), F.round(F.avg((F.col("level") == F.col("risk_level")).cast("double")), 4).alias("accuracy"), F.round(F.avg("score"), 4).alias("mean_score"))
+
+
+def boilerplate_classifier(spark: SparkSession, base: str) -> DataFrame:
+    """Held-out labels of sentences by a perceptron 384 -> 64 -> 2: said by three companies or more, or by one."""
+    s = stored(_corpus(spark, base))
+    labelled = N.boilerplate_labels(s).select("norm", "label")
+    rows = stored(M.stratified(M.encoded(labelled, "norm", "norm").join(labelled, "norm"), "norm", "label"))
+    model = M.trained(rows.where("not held_out"), 2, 64, rounds=30)
+    got = M.boilerplate_share(rows.where("held_out"), "norm", model).join(rows.select("norm", "label"), "norm")
+    return got.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("boilerplate"), 4).alias("mean_boilerplate"))
+
+
+def marginal_keyphrases(spark: SparkSession, base: str) -> DataFrame:
+    """Ten phrases of each section that say most about it and least about each other."""
+    s = table(spark, base, "sections", "id", "section_text").where("section_text is not null")
+    return s.select(F.col("id").alias("section_id"), F.posexplode(M.keyphrases(F.col("section_text"))).alias("no", "x")).select("section_id", (F.col("no") + 1).alias("rank"), "x.phrase", "x.score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lexicon_from_wide, sentiment_contextual, pair_sentiment_delta, sentence_risk_tiers, risk_summary, sentence_exact_changes, sentence_similarity, sentence_alignment, head_tail_truncate,
-        boilerplate_sentences, boilerplate_labels, boilerplate_uniqueness, train_tier1_exact, train_tier2_overlap, train_tier4_pairs, train_tier3_cross, train_tier5_critical, train_outcomes, risk_filtered, risk_entries, risk_labels, train_label_bands, train_negatives, data_quality_report, train_budget, train_split, rolling_sentences,
+        boilerplate_sentences, boilerplate_labels, boilerplate_uniqueness, train_tier1_exact, train_tier2_overlap, train_tier4_pairs, train_tier3_cross, train_tier5_critical, train_outcomes, risk_filtered, risk_entries, risk_labels, train_label_bands, train_negatives, data_quality_report, train_budget, train_split, rolling_sentences, risk_classifier, boilerplate_classifier, marginal_keyphrases,
     )
 }
 

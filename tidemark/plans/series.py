@@ -13,6 +13,7 @@ from tidemark.operators import series as S
 from tidemark.operators.sentences import has_any
 from tidemark.plans.relational import _PREV
 from tidemark.operators.lexical import watch_changes
+from tidemark.operators.medians import medians
 from tidemark.plans.views import D_SQL, F_SQL, P_SQL, S_SQL, clean_drift, clean_filings, clean_sections, section_pairs, values_sql
 from tidemark.session import stored
 from tidemark.sources.tables import table
@@ -258,8 +259,12 @@ def market_report(spark: SparkSession, base: str) -> DataFrame:
 
 
 def percentile_thresholds(spark: SparkSession, base: str) -> DataFrame:
-    d = clean_drift(spark, base).where("cosine is not null")
-    return d.groupBy("section").agg(*[F.round(F.percentile("cosine", F.lit(p)), 9).alias(f"p{int(p * 100)}") for p in (0.2, 0.5, 0.75, 0.9)])
+    d = stored(clean_drift(spark, base).where("cosine is not null").select("section", "cosine"))
+    out = None
+    for p in (0.2, 0.5, 0.75, 0.9):
+        one = medians(d, ["section"], "cosine", "v", p).select("section", F.round("v", 9).alias(f"p{int(p * 100)}"))
+        out = one if out is None else out.join(one, "section")
+    return out
 
 
 def backtest_metrics(spark: SparkSession, base: str) -> DataFrame:
