@@ -260,7 +260,7 @@ def test_sections_by_form_contents_stubs_and_notes():
     assert [k for k, _ in P.sections_of(ten_q, "10-Q")] == ["financial_statements", "risk_factors"]  # a heading inside another one cuts it short
     eight = f"Item 2.02 Results of Operations\n{body}\nItem 9.01 Exhibits\n{body}"
     assert [k for k, _ in P.sections_of(eight, "8-K")] == ["financial_exhibits", "results_of_operations"]
-    titled = f"Item 8. Financial Statements\nA short one with more than ten words in a single sentence so that it counts.\nRISK FACTORS\n{body}"
+    titled = f"Item 2. Properties\nA short one with more than ten words in a single sentence so that it counts.\nItem 8. Financial Statements\n{body}\nRISK FACTORS\n{body}"
     assert "risk_factors" in dict(P.sections_of(titled, "10-K"))  # by its title, as a section is short
 
 
